@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, quality, tokenfile
 from .common import table
 
+OP6 = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
 
 def tokenizer(name: str) -> str:
     """The place of a public tokenizer's file."""
@@ -17,13 +20,21 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.roundtrip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(*OP6, F.round("quality", 6).alias("quality"))
+
+
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_bpe_tree": op8_bpe_tree}
+    return {"op1_token_ids": op1_token_ids, "op6_quality_votes": op6_quality_votes, "op8_bpe_tree": op8_bpe_tree}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_votes": quality.sql(keep=", ".join(OP6) + ", round(quality, 6) as quality")}
