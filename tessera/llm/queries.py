@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, tokenfile
+from . import bpe, langid, mixing, quality, tokenfile
 from .common import table
 
 OP6 = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -24,6 +24,14 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.roundtrip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"], light=True).select("doc.doc_id", *[f"mix.{c}" for c in ("size", "source_size", "target", "copies", "taken")], F.round("mix.position", 9).alias("position"))
+
+
 def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(*OP6, F.round("quality", 6).alias("quality"))
 
@@ -33,8 +41,8 @@ def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_ids": op1_token_ids, "op6_quality_votes": op6_quality_votes, "op8_bpe_tree": op8_bpe_tree}
+    return {"op1_token_ids": op1_token_ids, "op4_language_filters": op4_language_filters, "op5_mix_curriculum": op5_mix_curriculum, "op6_quality_votes": op6_quality_votes, "op8_bpe_tree": op8_bpe_tree}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_votes": quality.sql(keep=", ".join(OP6) + ", round(quality, 6) as quality")}
+    return {"op5_mix_curriculum": mixing.sql(), "op6_quality_votes": quality.sql(keep=", ".join(OP6) + ", round(quality, 6) as quality")}
