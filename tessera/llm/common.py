@@ -39,6 +39,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+class Recent(dict):
+    """A look-up of make(key) that holds what was used of late: between ``most`` and twice as many entries."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def words(text: Column) -> Column:
     """The words of a text; of null: an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

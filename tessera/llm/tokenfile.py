@@ -16,6 +16,7 @@ no row. Texts may be of any length.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import Recent, cut, scratch
 
 MAGIC = b"TSRVB001"
 #: Bytes of a block at most, except for a longer document's own, and entries of a lookup cache.
@@ -87,56 +88,74 @@ def read_blocks(f):
 
 
 # -- the operator ------------------------------------------------------------------------------------------------
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, ids) with the ids, the end id among them, as little-endian uint32.
+class Encoder:
+    """The ids, as little-endian uint32, of texts under a tokenizer that drops white space and merges nothing across it.
 
-    The tokenizer drops white space and merges nothing across it, so what stands between spaces or line ends is encoded alone and looked up when
-    it recurs.
+    What stands between spaces or line ends is encoded alone and looked up when it recurs. Of a word with a capital or a full
+    stop or comma behind a letter, the parts are looked up: the tokenizer folds case and splits there.
     """
 
-    def run(batches):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_path)
-        tok.no_truncation()
-        tok.no_padding()
-        known: dict[str, bytes] = {"": b""}
-        end = np.array([end_id], "<u4").tobytes()
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.known = Recent(self.unit, CACHE)
+        probe = self.library("Ab, c.")
+        self.folds = probe == self.library("ab , c .") and self.library("A") == self.library("a")
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        if self.folds and unit.isascii() and "<" not in unit and "'" not in unit:
+            if unit[-1:] in (",", ".") and unit[-2:-1].isalpha():
+                return self.known[unit[:-1]] + self.known[unit[-1]]
+            if unit != (low := unit.lower()):
+                return self.known[low]
+        return self.library(unit)
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.known.__getitem__, (text or "").replace("\n", " ").split(" ")))
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """Held by a Python worker from task to task."""
+    return Encoder(path)
+
+
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, ids) with the ids, the end id among them, as little-endian integers of 16 bits where all ids fit, else of 32."""
+    wide = width(tokenizer_path, end_id)
+
+    def run(batches):
+        own, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 c = b.slice(at, 512)
-                parts = [t.replace("\n", " ").split(" ") if t else [] for t in c.column(1).to_pylist()]
-                if len(known) > CACHE:
-                    known = {"": b""}
-                new = [u for u in {u for p in parts for u in p} if u not in known]
-                for u, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[u] = np.array(e.ids, "<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), pa.array([b"".join(map(known.__getitem__, p)) + end for p in parts], pa.binary())], names=["key", "ids"])
+                ids = [np.frombuffer(own.encode(t) + end, "<u4").astype(wide).tobytes() for t in c.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], names=["key", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "key long, ids binary")
 
 
-def narrow(ids: DataFrame, wide: int) -> DataFrame:
-    """The same ids as uint16 where all ids fit."""
-    if wide > 1 << 16:
-        return ids
+def ids_below(tokenizer_path: str, end_id: int) -> int:
+    from tokenizers import Tokenizer
+
+    return max(*Tokenizer.from_file(tokenizer_path).get_vocab().values(), end_id) + 1
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["key", "ids"])
 
-    return ids.mapInArrow(run, "key long, ids binary")
+def width(tokenizer_path: str, end_id: int) -> str:
+    return "<u2" if ids_below(tokenizer_path, end_id) <= 1 << 16 else "<u4"
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write docs' ids below folder; a row (shard, path, n_docs, n_ids, n_bytes) for each file, from a written copy."""
-    from tokenizers import Tokenizer
-
-    spark, vocabulary = docs.sparkSession, max(Tokenizer.from_file(tokenizer_path).get_vocab().values()) + 1
-    vocabulary = max(vocabulary, end_id + 1)
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    spark, vocabulary, kind = docs.sparkSession, ids_below(tokenizer_path, end_id), width(tokenizer_path, end_id)
     encoded = f"{folder}/encoded"
-    narrow(tokenise(docs, tokenizer_path, end_id, id_col, text_col), vocabulary).write.option("compression", "zstd").parquet(encoded)
+    tokenise(docs, tokenizer_path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(encoded)
     ids = spark.read.parquet(encoded)
 
     def count(batches):
