@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, tokenfile
+from . import bpe, langid, mixing, ngramjoin, quality, tokenfile
 from .common import table
 
 OP6 = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,13 +36,17 @@ def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(*OP6, F.round("quality", 6).alias("quality"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_ids": op1_token_ids, "op4_language_filters": op4_language_filters, "op5_mix_curriculum": op5_mix_curriculum, "op6_quality_votes": op6_quality_votes, "op8_bpe_tree": op8_bpe_tree}
+    return {"op1_token_ids": op1_token_ids, "op4_language_filters": op4_language_filters, "op5_mix_curriculum": op5_mix_curriculum, "op6_quality_votes": op6_quality_votes, "op7_ngram_join": op7_ngram_join, "op8_bpe_tree": op8_bpe_tree}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_curriculum": mixing.sql(), "op6_quality_votes": quality.sql(keep=", ".join(OP6) + ", round(quality, 6) as quality")}
+    return {"op7_ngram_join": ngramjoin.sql(), "op5_mix_curriculum": mixing.sql(), "op6_quality_votes": quality.sql(keep=", ".join(OP6) + ", round(quality, 6) as quality")}
