@@ -160,6 +160,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.select(*columns, F.col("__lang").alias("lang_pred"), F.col("__score").alias("score")) if not carry else out
 
 
+def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, with all their columns, in whose text a language is recognised."""
+    return predict(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col, docs.columns).where("__lang <> 'und'").select(*docs.columns)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a row is held out of learning: crc32 of its id as text, modulo 3, is 1 (a null id: no)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -111,6 +111,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     return seen.withColumn("base_failed", failed).withColumn("quality", F.expr(f"1 / (1 + exp(-({odds(params)})))")).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
+def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns and however often they are repeated.
+
+    Rows are told apart by a hash of id and text, so null or repeated ids do no harm and no text is shuffled twice.
+    """
+    mark = F.xxhash64(F.col(id_col), F.col(text_col))
+    kept = judge(docs.select(mark.alias("_row_mark"), F.col(text_col)), "_row_mark", text_col, least).where("kept").select("_row_mark").distinct()
+    return docs.withColumn("_row_mark", mark).join(kept, "_row_mark", "left_semi").select(*docs.columns)
+
+
 # -- the same in SQL ------------------------------------------------------------------------------------------------
 def sql(source: str = "documents", keep: str = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept") -> str:
     """DuckDB SQL of judge(): measures by unnesting, and one CTE for each round of the estimation."""

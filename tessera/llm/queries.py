@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, ngramjoin, quality, tokenfile
+from . import bpe, hnsw, langid, linkgraph, mixing, ngramjoin, quality, sitebayes, tokenfile, warczip
 from .common import table
 
 OP6 = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -24,6 +24,14 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.roundtrip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op2_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warczip.roundtrip(table(spark, sf_dir, "pages"))
+
+
 def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -44,9 +52,24 @@ def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitebayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_ids": op1_token_ids, "op4_language_filters": op4_language_filters, "op5_mix_curriculum": op5_mix_curriculum, "op6_quality_votes": op6_quality_votes, "op7_ngram_join": op7_ngram_join, "op8_bpe_tree": op8_bpe_tree}
+    every = (op1_token_ids, op2_url_trust, op3_warc_zip, op4_language_filters, op5_mix_curriculum, op6_quality_votes, op7_ngram_join, op8_bpe_tree, op9_site_quality, op10_hnsw_dedup, pipeline)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_join": ngramjoin.sql(), "op5_mix_curriculum": mixing.sql(), "op6_quality_votes": quality.sql(keep=", ".join(OP6) + ", round(quality, 6) as quality")}
+    return {"op3_warc_zip": warczip.sql(), "op5_mix_curriculum": mixing.sql(), "op6_quality_votes": quality.sql(keep=", ".join(OP6) + ", round(quality, 6) as quality"), "op7_ngram_join": ngramjoin.sql()}

@@ -34,7 +34,7 @@ def test_odd_texts(tools):
 def test_long_unsplit(tools):
     tok, own = tools
     rng = random.Random(1)
-    for alphabet in ("ab", "abcdefghij", "the ing"[:3], "éaß", "!?.", "0123456789", "日本語aé"):
+    for alphabet in ("ab", "abcdefghij", "the", "éaß", "!?.", "0123456789", "日本語aé"):
         for n in (41, 100, 777, 3000):
             t = "".join(rng.choice(alphabet) for _ in range(n))
             assert own.encode(t) == tok.encode(t, add_special_tokens=False).ids
