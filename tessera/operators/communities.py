@@ -10,10 +10,52 @@ from ..catalog import Graph
 from ..plans.lineage import cut
 
 
-def scc(graph: Graph, relations=("calls",), limit: int = 200) -> DataFrame:
+#: Edges, of those left after trimming, that one task may hold.
+ONE_TASK = 2_000_000
+
+
+def cycles(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """The smallest member of each node's strongly connected component: one depth-first walk with low links, without recursion."""
+    out: dict[int, list[int]] = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    order: dict[int, int] = {}
+    low: dict[int, int] = {}
+    home: dict[int, int] = {}
+    path: list[int] = []
+    for root in out:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        path.append(root)
+        work = [(root, iter(out[root]))]
+        while work:
+            n, rest = work[-1]
+            for m in rest:
+                if m not in order:
+                    order[m] = low[m] = len(order)
+                    path.append(m)
+                    work.append((m, iter(out[m])))
+                    break
+                if m not in home:
+                    low[n] = min(low[n], order[m])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[n])
+                if low[n] == order[n]:
+                    members = [path.pop()]
+                    while members[-1] != n:
+                        members.append(path.pop())
+                    home |= dict.fromkeys(members, min(members))
+    return home
+
+
+def scc(graph: Graph, relations=("calls",), limit: int = 200, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component, scc_size) of every node; a node outside any cycle is its own component of size 1.
 
-    Rounds of colouring: nodes that nothing arrives at, or that lead nowhere, are trimmed; the least label that reaches a node colours it; from the node that
+    What trimming leaves goes to one task if its counted edges are few enough to hold; otherwise, rounds of colouring: nodes that nothing arrives at, or that lead nowhere, are trimmed; the least label that reaches a node colours it; from the node that
     owns a colour, what can be reached backwards inside the colour is a component, which leaves. All steps are joins and grouped minima.
     """
     edges = cut(graph.edges.where(F.col("rel").isin(*relations)).select("src", "dst").where("src <> dst").distinct())
@@ -30,7 +72,12 @@ def scc(graph: Graph, relations=("calls",), limit: int = 200) -> DataFrame:
 
     for _ in range(limit):
         edges = trimmed(edges)
-        if edges.isEmpty():
+        left = edges.count()
+        if not left:
+            break
+        if left <= one_task:
+            walked = edges.groupBy((F.col("src") * 0).alias("all")).applyInPandas(lambda pdf: pd.DataFrame(list(cycles(list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))).items()), columns=["id", "c"]), "id long, c long")
+            done.append(cut(walked))
             break
         colour = cut(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("c", F.col("id")))
         while True:
@@ -58,6 +105,9 @@ def scc(graph: Graph, relations=("calls",), limit: int = 200) -> DataFrame:
     all_ = done[0]
     for d in done[1:]:
         all_ = all_.unionByName(d)
+    # a colour's owner is any member: the component goes by its smallest
+    all_ = cut(all_)
+    all_ = all_.join(all_.groupBy("c").agg(F.min("id").alias("m")), "c").select("id", F.col("m").alias("c"))
     sizes = all_.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     return nodes.join(all_.join(sizes, "c"), "id", "left").select("id", F.coalesce("c", "id").alias("component"), F.coalesce("n", F.lit(1)).cast("long").alias("scc_size"))
 
@@ -146,7 +196,7 @@ def communities(graph: Graph, relations=("calls",), cap: int = 512) -> DataFrame
         found = louvain(list(zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["w"].tolist(), strict=True)), cap=cap)
         return pd.DataFrame({"id": list(found), "community": list(found.values())})
 
-    found = undirected(graph, relations).groupBy(F.lit(0)).applyInPandas(run, "id long, community long")
+    found = undirected(graph, relations).groupBy((F.col("a") * 0).alias("all")).applyInPandas(run, "id long, community long")
     return graph.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 

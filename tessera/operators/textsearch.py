@@ -94,10 +94,9 @@ def lines(files: DataFrame) -> DataFrame:
 
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (path, at, ...) with the id, name and kind of the innermost of the spans (path, start, end, id, name, kind) that holds them, or nulls."""
-    points = points.withColumn("__point", F.monotonically_increasing_id())
-    held = points.select("__point", "path", "at").join(spans, "path").where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
-    inner = held.groupBy("__point").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("size"), "id", "name", "kind")).alias("s"))
-    return points.join(inner, "__point", "left").select(*[c for c in points.columns if c != "__point"], "s.id", "s.name", "s.kind")
+    held = points.select("path", "at").distinct().join(spans, "path").where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
+    inner = held.groupBy("path", "at").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("size"), "id", "name", "kind")).alias("s"))
+    return points.join(inner, ["path", "at"], "left").select(*points.columns, "s.id", "s.name", "s.kind")
 
 
 def text_search(files: DataFrame, pattern: str, case_insensitive: bool = False, lang: str | None = None, prefix: str | None = None, spans: DataFrame | None = None, symbol: str | None = None, index: DataFrame | None = None) -> DataFrame:

@@ -56,9 +56,10 @@ class View:
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(window_start, event_type, n, total) of events (ts, event_type, value), on a stream or a table; late rows beyond the watermark are left out of a stream."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # event time is an instant
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     out = rows.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return out.select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def streamed_counts(spark: SparkSession, folder: str, name: str) -> DataFrame:
