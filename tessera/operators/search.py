@@ -335,10 +335,12 @@ def self_probes(nodes: DataFrame, n: int = 512, seed: int = 17) -> DataFrame:
 def cooccurrences(docs: DataFrame, window: int = 2, least: int = 5) -> DataFrame:
     """(a, b, n): ordered pairs of tokens at most ``window`` apart in (id, tokens), of tokens seen ``least`` times or more."""
     counts = docs.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("t")
-    spans = []
-    for d in range(1, window + 1):
-        ahead = F.transform(F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i, d=d: i + d < F.size("tokens")), lambda i, d=d: F.struct(F.get("tokens", i).alias("a"), F.get("tokens", i + d).alias("b")))
-        spans.append(docs.where(F.size("tokens") > d).select(F.explode(ahead).alias("p")))
+
+    def ahead(d: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: i + d < F.size("tokens"))
+        return F.transform(starts, lambda i: F.struct(F.get("tokens", i).alias("a"), F.get("tokens", i + d).alias("b")))
+
+    spans = [docs.where(F.size("tokens") > d).select(F.explode(ahead(d)).alias("p")) for d in range(1, window + 1)]
     pairs = spans[0]
     for s in spans[1:]:
         pairs = pairs.unionByName(s)
