@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -91,8 +92,8 @@ def read_blocks(f):
 class Encoder:
     """The ids, as little-endian uint32, of texts under a tokenizer that drops white space and merges nothing across it.
 
-    What stands between spaces or line ends is encoded alone and looked up when it recurs. Of a word with a capital or a full
-    stop or comma behind a letter, the parts are looked up: the tokenizer folds case and splits there.
+    What stands between spaces or line ends is encoded alone and looked up when it recurs. Of a Latin word with a capital, or with a full
+    stop or comma behind a letter, the parts are looked up: the tokenizer folds case and splits there (which is probed first).
     """
 
     def __init__(self, path: str):
@@ -102,18 +103,24 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.known = Recent(self.unit, CACHE)
-        probe = self.library("Ab, c.")
-        self.folds = probe == self.library("ab , c .") and self.library("A") == self.library("a")
+        self.model = self.tok.model
+        self.plain = all(self.library(a) == b for a, b in (("Ab, É c.", self.library("ab") + self.library(",") + self.library("é") + self.library("c") + self.library(".")), ("thing", self.merged("thing")), ("éñ", self.merged("éñ"))))
 
     def library(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def merged(self, word: str) -> bytes:
+        """The ids of a word of lower-case letters, which the tokenizer neither changes nor splits: the library's merges alone."""
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def unit(self, unit: str) -> bytes:
-        if self.folds and unit.isascii() and "<" not in unit and "'" not in unit:
-            if unit[-1:] in (",", ".") and unit[-2:-1].isalpha():
+        if self.plain and unit and max(unit) < "\u0250" and "<" not in unit and "'" not in unit:  # Latin letters, no special token or contraction
+            if unit[-1] in ",." and unit[-2:-1].isalpha():
                 return self.known[unit[:-1]] + self.known[unit[-1]]
             if unit != (low := unit.lower()):
                 return self.known[low]
+            if unit.isalpha():
+                return self.merged(unit)
         return self.library(unit)
 
     def encode(self, text: str | None) -> bytes:

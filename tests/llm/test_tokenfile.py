@@ -28,7 +28,7 @@ def want(rows):
 
 
 def test_roundtrip(spark, tmp_path):
-    texts = ["Hello World's end", None, "", "  two  spaces\n\tTab", "É́ É <|endoftext|>x <|startoftext|>", "日本 🙂", "a" * 3000, "word " * 4000, "it's here\x1cnow", "ΣΑΣ İ", "Ab. cd, EF.. gh.,x <|ENDOFTEXT|> 3. a1, 'S. It's.", ". , .a"]
+    texts = ["Hello World's end", None, "", "  two  spaces\n\tTab", "É́ É <|endoftext|>x <|startoftext|>", "日本 🙂", "a" * 3000, "word " * 4000, "it's here\x1cnow", "ΣΑΣ İ", "Ab. cd, EF.. gh.,x <|ENDOFTEXT|> 3. a1, 'S. It's.", ". , .a", "ªº µ ß ŉ Ǆ ǅ ÿ İi ĸ Ñandú, É. été ſ"]
     rows = [(100 - i * 7, t) for i, t in enumerate(texts)] + [(None, "null key")]
     df = spark.createDataFrame([(a, b, 9) for a, b in rows], "doc_id long, text string, n long")
     manifest = tf.write(df, f"{tmp_path}/t", PATH)
