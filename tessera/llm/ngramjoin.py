@@ -38,7 +38,7 @@ from .common import Recent, components, cut
 FREQUENT, LISTED, BROADCAST = 50, 1 << 16, 400_000
 #: Bits of a token's hash, below six of its rank by rarity; the bit above marks the frequent class.
 BITS, LATE = 56, 1 << 62
-CACHE = 500_000
+CACHE = 200_000
 M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 
 
@@ -144,38 +144,63 @@ def digests(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, de
     return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, digest binary, first array<long>")
 
 
-def index(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, held, late) -> DataFrame:
-    """(id, n, taken, n_late, last, keys): index keys of the extended prefix; a pair of frequent tokens has a negative key."""
+ENTRIES = "id long, n long, taken long, n_late long, last long, keys array<long>"
+
+
+def entry(i, n: int, start: np.ndarray, late: np.ndarray, p: int) -> tuple | None:
+    """An id's index entry from the first tokens of its set: p of the rare class, then frequent ones; None if that takes more tokens.
+
+    A pair of frequent tokens has a negative key.
+    """
+    at = np.searchsorted(late, start)
+    is_late = late[np.minimum(at, len(late) - 1)] == start if len(late) else np.zeros(len(start), bool)
+    if len(start) < n and len(start) - int(is_late.sum()) < p:
+        return None
+    rare = start[~is_late][:p]
+    often = start[is_late][: p - len(rare)]
+    keys = rare
+    if len(often) > 1:
+        one, two = np.triu_indices(len(often), 1)
+        pairs = (often[one].view(np.uint64) * M[0] ^ often[two].view(np.uint64)) * M[1]
+        keys = np.concatenate([rare, (pairs >> np.uint64(1)).view(np.int64) - (1 << 63)])
+    last = (int(often[-1]) | LATE) if len(often) else int(rare[-1]) if len(rare) else 0
+    return i, n, len(rare) + len(often), len(often), last, keys
+
+
+def entry_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["id", "n", "taken", "n_late", "last", "keys"])
+
+
+def index_of_first(firsts: DataFrame, num: int, den: int, late) -> DataFrame:
+    """Index entries from (id, n, first); an id whose first tokens don't suffice comes back without keys."""
+
+    def run(batches):
+        listed = late.value
+        for b in batches:
+            out = []
+            for i, n, first in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                found = entry(i, n, np.array(first, np.int64), listed, prefix_size(n, num, den))
+                out.append(found or (i, n, None, None, None, None))
+            yield entry_batch(out)
+
+    return firsts.select("id", "n", "first").mapInArrow(run, ENTRIES)
+
+
+def index_of_texts(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, held, late) -> DataFrame:
+    """Index entries from whole texts."""
 
     def run(batches):
         own, listed = shingler(size, held.value), late.value
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                c = b.slice(at, 256)
-                rows: list[list] = [[] for _ in range(6)]
+                c, out = b.slice(at, 256), []
                 for i, text in zip(c.column(0).to_pylist(), c.column(1).to_pylist(), strict=True):
                     t = own.tokens(text)
-                    p = prefix_size(len(t), num, den)
-                    look = 2 * p
-                    while True:  # as many tokens as it takes to find p of the rare class
-                        is_late = np.isin(t[:look], listed) if len(listed) else np.zeros(min(look, len(t)), bool)
-                        if look >= len(t) or (~is_late).sum() >= p:
-                            break
-                        look *= 2
-                    rare = t[:look][~is_late][:p]
-                    often = t[:look][is_late][: p - len(rare)]
-                    keys = rare
-                    if len(often) > 1:
-                        one, two = np.triu_indices(len(often), 1)
-                        pairs = (often[one].view(np.uint64) * M[0] ^ often[two].view(np.uint64)) * M[1]
-                        keys = np.concatenate([rare, (pairs >> np.uint64(1)).view(np.int64) - (1 << 63)])
-                    last = (int(often[-1]) | LATE) if len(often) else int(rare[-1]) if len(rare) else 0
-                    for col, x in zip(rows, (i, len(t), len(rare) + len(often), len(often), last, keys), strict=True):
-                        col.append(x)
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["id", "n", "taken", "n_late", "last", "keys"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, taken long, n_late long, last long, keys array<long>")
+                    out.append(entry(i, len(t), t, listed, prefix_size(len(t), num, den)))
+                yield entry_batch(out)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ENTRIES)
 
 
 def only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -195,9 +220,12 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
     def run(batches):
         for b in batches:
             good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
-                same = len(np.intersect1d(x, y, assume_unique=True))
+            for x, y in zip(b.column(2), b.column(3), strict=True):  # views of the batch: no pair's sets are copied
+                x, y = np.frombuffer(x.as_buffer(), "<i8"), np.frombuffer(y.as_buffer(), "<i8")
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 good.append(den * same >= num * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -218,7 +246,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     firsts = base.where("n > 0").join(lead, "id", "left_semi").dropDuplicates(["id"])
     counts = firsts.select(F.explode("first").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT)
     late = broadcast(np.array(sorted(r["token"] for r in counts.orderBy(F.desc("c"), "token").limit(LISTED).collect()), np.int64))
-    entries = cut(index(known, *how, held, late).join(lead, "id", "left_semi").where("n > 0").dropDuplicates(["id"]))
+    entries = cut(index_of_first(firsts, num, den, late))
+    if not (long := cut(entries.where("keys is null").select("id"))).isEmpty():
+        # where frequent tokens fill the beginning, the whole text is read again; of a repeated id one row counts, as in firsts
+        again = index_of_texts(only(known, long, id_col), *how, held, late).dropDuplicates(["id"])
+        entries = cut(entries.where("keys is not null").unionByName(again.where("n > 0")))
     about = entries.drop("keys")
     posted = entries.select("id", F.explode("keys").alias("key"))
     shared = cut(posted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).where("c > 1").drop("c"))
