@@ -200,17 +200,22 @@ def communities(graph: Graph, relations=("calls",), cap: int = 512) -> DataFrame
     return graph.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
-def label_propagation(graph: Graph, relations=("calls",), rounds: int = 10) -> DataFrame:
-    """(id, community): every node takes the label most of its neighbours have, by weight, then the least; distributed, in synchronous rounds."""
+def label_propagation(graph: Graph, relations=("calls",), rounds: int = 20) -> DataFrame:
+    """(id, community): every node takes the label most of its neighbours have, by weight, its own if none is better, then the least.
+
+    Distributed: a round is a join and two grouped sums. Half of the nodes, by a hash, move in a round, so neighbours don't swap labels for ever.
+    """
     pairs = undirected(graph, relations)
     both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     labels = cut(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(rounds):
-        votes = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id"), "label").agg(F.sum("w").alias("v"))
-        best = votes.groupBy("id").agg(F.min(F.struct((-F.col("v")).alias("less"), "label")).alias("m")).select("id", F.col("m.label").alias("new"))
-        # a node moves to a smaller label only, so two neighbours never swap for ever
-        moved = cut(labels.join(best, "id").select("id", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+    still = 0
+    for k in range(rounds):
+        votes = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id"), F.col("label").alias("to")).agg(F.sum("w").alias("v"))
+        best = votes.join(labels, "id").groupBy("id", "label").agg(F.min(F.struct((-F.col("v")).alias("less"), (F.col("to") != F.col("label")).alias("other"), "to")).alias("m"))
+        turn = F.pmod(F.xxhash64("id", F.lit(k // 2)), F.lit(2)) == k % 2
+        moved = cut(best.select("id", F.when(turn, F.col("m.to")).otherwise(F.col("label")).alias("label"), (turn & F.col("m.other")).alias("moved")))
         labels = moved.select("id", "label")
-        if moved.where("moved").isEmpty():
+        still = still + 1 if moved.where("moved").isEmpty() else 0
+        if still == 2:
             break
     return graph.nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("community"))
