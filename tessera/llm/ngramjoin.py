@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, components, cut
+from .common import Recent, components, cut, release
 
 #: A token in the prefixes of more than so many sets is of the frequent class; words and tokens listed at most, each way; ids of a broadcast at most.
 FREQUENT, LISTED, BROADCAST = 50, 1 << 16, 400_000
@@ -215,6 +215,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
     pairs = cut(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = cut(sets(only(docs, ids, id_col).dropDuplicates([id_col]), id_col, text_col, size, held))
+    release(docs.sparkSession)
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
 
     def run(batches):
@@ -246,11 +247,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     firsts = base.where("n > 0").join(lead, "id", "left_semi").dropDuplicates(["id"])
     counts = firsts.select(F.explode("first").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT)
     late = broadcast(np.array(sorted(r["token"] for r in counts.orderBy(F.desc("c"), "token").limit(LISTED).collect()), np.int64))
+    release(spark)
     entries = cut(index_of_first(firsts, num, den, late))
     if not (long := cut(entries.where("keys is null").select("id"))).isEmpty():
         # where frequent tokens fill the beginning, the whole text is read again; of a repeated id one row counts, as in firsts
         again = index_of_texts(only(known, long, id_col), *how, held, late).dropDuplicates(["id"])
         entries = cut(entries.where("keys is not null").unionByName(again.where("n > 0")))
+    release(spark)
     about = entries.drop("keys")
     posted = entries.select("id", F.explode("keys").alias("key"))
     shared = cut(posted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).where("c > 1").drop("c"))
@@ -262,11 +265,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             pairs = pairs.join(about.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "taken", "n_late", "last")]), side)
         return pairs.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").withColumn("need", F.expr(f"cast(ceil({num} * (n_a + n_b) / {num + den}) as long)"))
 
+    release(spark)
     alone = F.sum((F.col("key") >= 0).cast("long")).alias("one")
     stars = live.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(alone, F.count(F.lit(1)).alias("any"))
     hopeful = sized(stars).where("4 * any >= least(taken_a, taken_b)").select("a", "b")
     links = verified(hopeful, docs, id_col, text_col, size, num, den, held)
+    release(spark)
     united = components(links)
+    release(spark)
     homed = live.drop("lead").join(united.withColumnRenamed("node", "id"), "id", "left").withColumn("home", F.coalesce("component", "id")).drop("component")
     mixed = homed.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("key")
     open_ = cut(homed.join(mixed, "key", "left_semi"))
@@ -274,8 +280,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     crossed = x.join(y, (x["key"] == y["key"]) & (F.col("ha") != F.col("hb")) & (F.col("a") < F.col("b"))).select(x["key"], "a", "b").groupBy("a", "b").agg(alone)
     # all of the prefix that ends first is known to be shared or not: the overlap can't exceed what is shared and the rest of that set
     most = F.expr("one + least(n_late_a, n_late_b) + case when last_a <= last_b then n_a - taken_a else n_b - taken_b end")
+    del homed, mixed, stars, hopeful, posted
     left = sized(crossed).where(most >= F.col("need")).select("a", "b")
+    release(spark)
     more = verified(left, docs, id_col, text_col, size, num, den, held)
+    release(spark)
     members = base.where("n > 0 and id is not null").join(heads, "digest").select(F.col("id").alias("a"), F.col("head").alias("b"))
     found = components(links.unionByName(more).unionByName(members))
     return base.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
