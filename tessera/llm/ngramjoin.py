@@ -303,6 +303,6 @@ s as (select distinct doc_id, unnest(case when len(l) = 0 then [] when len(l) <
 z as (select doc_id, count(*) as n from s group by doc_id),
 o as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
 e as (select a, b from o join z x on x.doc_id = a join z y on y.doc_id = b where {den} * c >= {num} * (x.n + y.n - c)),
-both as (select a, b from e union all select b, a from e),
-r as (select doc_id as node, doc_id as seen from {source} union select r.node, both.b from r join both on both.a = r.seen)
+sides as (select a, b from e union all select b, a from e),
+r as (select doc_id as node, doc_id as seen from {source} union select r.node, sides.b from r join sides on sides.a = r.seen)
 select doc_id, coalesce(n, 0) as n_shingles, component_id from (select distinct doc_id from {source}) join (select node, min(seen) as component_id from r group by node) on node = doc_id left join z using (doc_id)"""
