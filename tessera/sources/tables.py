@@ -12,8 +12,15 @@ BASE = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "orde
 TRILLION = 10**12
 
 
+#: Schemas by path: footers are read once, not in a job of their own for every use of a table.
+SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in SCHEMAS:
+        SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 def node_id(kind: str, key: str | Column) -> Column:
