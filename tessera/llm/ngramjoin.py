@@ -162,7 +162,7 @@ def entry(i, n: int, start: np.ndarray, late: np.ndarray, p: int) -> tuple | Non
     if len(often) > 1:
         one, two = np.triu_indices(len(often), 1)
         pairs = (often[one].view(np.uint64) * M[0] ^ often[two].view(np.uint64)) * M[1]
-        keys = np.concatenate([rare, (pairs >> np.uint64(1)).view(np.int64) - (1 << 63)])
+        keys = np.concatenate([rare, (pairs >> np.uint64(1) | np.uint64(1 << 63)).view(np.int64)])
     last = (int(often[-1]) | LATE) if len(often) else int(rare[-1]) if len(rare) else 0
     return i, n, len(rare) + len(often), len(often), last, keys
 

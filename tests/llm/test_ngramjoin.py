@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tessera.llm import ngramjoin
@@ -62,6 +63,16 @@ def test_against_brute_force(spark, monkeypatch, size, num, frequent):
     assert kept == {i for i, (_, c) in got.items() if c == i}
 
 
+def test_pairs_of_frequent_tokens(spark):
+    """More near copies than FREQUENT, whose sets hold too few rare tokens to fill a prefix."""
+    found = ngramjoin.entry(1, 4, np.array([5, 6, 7, 8]), np.array([5, 6, 7]), 4)
+    assert found[2:4] == (4, 3) and found[5][0] == 8 and len(set(found[5].tolist())) == 4 and (found[5][1:] < 0).all()
+    words = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join([*words[: i % 60], f"c{i}", *words[i % 60 + 1 :]])) for i in range(60, 180)] + [(900, " ".join(f"q{k}" for k in range(60)))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 90, 100) and len({c for _, c in got.values()}) < 60
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted(map(tuple, ngramjoin.join(df).collect()), key=str)
