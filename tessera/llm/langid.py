@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 #: Documents of a language that are learned from, in expectation, and slots of the filter: its size is 8 MB for every 64 languages.
 PER_LANGUAGE, SLOTS = 2000, 1 << 20
 SIZES, MIN_COUNT, RATIO = (3, 4), 3, 4
+#: Of the usual support of its predicted language, a recognised text has so much.
+ENOUGH = 0.5
 #: Odd constants of the n-gram hash, one for each place, and of its mixing.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -69,6 +71,10 @@ class Model:
         self.false = np.array([float(((tables[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** 2 for i in range(len(languages))])
 
     def predict(self, texts: list[str | None], letter: np.ndarray) -> list[tuple[str, float]]:
+        return [x[:2] for x in self.judged(texts, letter)]
+
+    def judged(self, texts: list[str | None], letter: np.ndarray) -> list[tuple[str, float, float]]:
+        """(language, score, support): support is the language's corrected count as a share of the text's n-grams."""
         if not texts:
             return []
         flat, starts = points(texts, letter)
@@ -85,11 +91,12 @@ class Model:
                 for j in range(min(64, len(self.languages) - 64 * i)):
                     counts[64 * i + j] += np.add.reduceat((mask >> np.uint64(j)) & np.uint64(1), at)
         if not self.languages:
-            return [("und", 0.0)] * len(texts)
+            return [("und", 0.0, 0.0)] * len(texts)
         right = np.maximum(0, (counts - total * self.false[:, None]) / (1 - self.false[:, None]))
         best = right.argmax(0)
         top, sums = right[best, np.arange(len(texts))], right.sum(0)
-        return [(self.languages[b], float(min(1.0, x / s)) if s > 0 else 0.0) if has else ("und", 0.0) for b, x, s, has in zip(best.tolist(), top.tolist(), sums.tolist(), some.tolist(), strict=True)]
+        support = np.minimum(1.0, top / np.maximum(total, 1))
+        return [(self.languages[b], float(min(1.0, x / s)) if s > 0 else 0.0, u) if has else ("und", 0.0, 0.0) for b, x, s, u, has in zip(best.tolist(), top.tolist(), sums.tolist(), support.tolist(), some.tolist(), strict=True)]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, n_slots: int = SLOTS) -> Model:
@@ -133,7 +140,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(the carried columns, or the id; lang_pred, score) for every row; nothing is shuffled."""
+    """(the carried columns, or the id; lang_pred, score; with carry also the support) for every row; nothing is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables))  # 8 * SLOTS bytes for every 64 languages
 
     def run(batches):
@@ -146,23 +153,36 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     part.append(t)
                     size += len(t or "")
                     if size > 1 << 20:
-                        found += own.predict(part, letter)
+                        found += own.judged(part, letter)
                         part, size = [], 0
-                found += own.predict(part, letter)
-                yield pa.RecordBatch.from_arrays([*c.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*c.schema.names[1:], "__lang", "__score"])
+                found += own.judged(part, letter)
+                yield pa.RecordBatch.from_arrays([*c.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], names=[*c.schema.names[1:], "__lang", "__score", "__support"])
 
     columns = carry or [id_col]
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     taken = docs.select(F.col(text_col).alias("__text"), *columns)
-    schema = StructType([taken.schema[c] for c in columns]).add("__lang", StringType()).add("__score", DoubleType())
+    schema = StructType([taken.schema[c] for c in columns]).add("__lang", StringType()).add("__score", DoubleType()).add("__support", DoubleType())
     out = taken.mapInArrow(run, schema)
     return out.select(*columns, F.col("__lang").alias("lang_pred"), F.col("__score").alias("score")) if not carry else out
 
 
 def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, with all their columns, in whose text a language is recognised."""
-    return predict(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col, docs.columns).where("__lang <> 'und'").select(*docs.columns)
+    """The rows of docs, with all their columns, in whose text a language is recognised.
+
+    A text needs support above 0 and at least ENOUGH times the median of a sample of the labelled rows of the same predicted language.
+    Languages of one vocabulary may support a text alike: no margin to the second one is asked for. If nothing was learned
+    (no labels, or no n-gram seen MIN_COUNT times), every text with a letter stays.
+    """
+    model = fit(docs, id_col, text_col, lang_col)
+    if not any(t.any() for t in model.tables):
+        return docs.where(F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    share = min(1.0, PER_LANGUAGE * len(model.languages) / max(1, labelled.count()))
+    sample = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20))
+    usual = predict(sample, model, id_col, text_col, [id_col]).where("__lang <> 'und'").groupBy("__lang").agg(F.percentile_approx("__support", 0.5).alias("m")).collect()  # a row a language
+    least = F.create_map(*[x for r in usual for x in (F.lit(r["__lang"]), F.lit(ENOUGH * r["m"]))]) if usual else F.create_map(F.lit(""), F.lit(0.0))
+    return predict(docs, model, id_col, text_col, docs.columns).where((F.col("__support") > 0) & (F.col("__support") >= F.coalesce(least[F.col("__lang")], F.lit(0.0)))).select(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -30,6 +30,18 @@ def test_predictions(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_recognised(spark):
+    """Texts that no filter supports go; where nothing can be learned, texts with letters stay."""
+    df, rows = frame(spark)
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choice("bcdfghjpqwxz") for _ in range(7)) for _ in range(40))
+    more = [(900, "漢字 " * 40, None, 0.0), (901, noise, None, 0.0), (902, "123 !!", None, 0.0), (903, None, "xx", 0.0), (904, "kalomi turen kami", None, 0.0)]
+    odd = spark.createDataFrame(more, df.schema)
+    assert {r["doc_id"] for r in langid.recognised(df.union(odd)).collect()} == {r[0] for r in rows} | {904}
+    for none in (odd.selectExpr("doc_id", "text", "cast(null as string) as lang"), odd.selectExpr("doc_id", "text", "if(doc_id = 904, 'xx', null) as lang")):
+        assert {r["doc_id"] for r in langid.recognised(none).collect()} == {900, 901, 904}
+
+
 def test_counts_by_hand():
     """The sliced filters answer as one filter for each language would."""
     letter = langid.letters()
