@@ -18,29 +18,42 @@ from ..functions import trees
 AST = "path string, node_id int, parent int, last int, depth int, kind string, named boolean, field string, start int, end int, sib int, named_sib int, line int, column int, ancestors array<int>, text string"
 KEY = ["path", "node_id"]
 SHOWN, IGNORE = 200, "tessera-ignore"
+#: Characters of nodes' texts, and 64 for each node, that a batch of ast_table holds.
+BATCH = 1 << 22
 HITS = "rule string, path string, node_id int, start int, end int, line int, column int, text string, captures map<string,string>, fixes array<string>"
 
 
-def ast_table(files: DataFrame, lang: str, keep: int = 4096) -> DataFrame:
+def ast_table(files: DataFrame, lang: str) -> DataFrame:
     """The trees of files (path, text), parsed batch by batch; a text that doesn't parse has one node of kind ``error``.
 
-    text holds at most ``keep`` characters of each node, enough for leaves and names: rules that read more use patterns.
+    text is the whole text of each node, so a file's texts together take up to its length times its tree's depth.
     """
 
+    kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.bool_(), pa.string(), *[pa.int32()] * 6, pa.list_(pa.int32()), pa.string()]
+    names = [x.split()[0] for x in AST.split(", ")]
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
     def run(batches):
         for b in batches:
+            out, size = [], 0
             for at in range(0, b.num_rows, 64):
-                c, out = b.slice(at, 64), []
+                c = b.slice(at, 64)
                 for path, text in zip(c.column(0).to_pylist(), c.column(1).to_pylist(), strict=True):
                     text = text or ""
                     try:
                         found = trees.rows(trees.parse(text, lang), text)
                     except (SyntaxError, ValueError, RecursionError, AssertionError):
                         found = [(0, None, 0, 0, "error", True, None, 0, len(text), 0, 0, 1, 1, [])]
-                    out += [(path, *r, text[r[7] : min(r[8], r[7] + keep)]) for r in found]
-                kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.bool_(), pa.string(), *[pa.int32()] * 6, pa.list_(pa.int32()), pa.string()]
-                names = [x.split()[0] for x in AST.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+                    for r in found:
+                        out.append((path, *r, text[r[7] : r[8]]))
+                        size += 64 + r[8] - r[7]
+                        if size > BATCH:
+                            yield batch(out)
+                            out, size = [], 0
+            if out:
+                yield batch(out)
 
     return files.select("path", "text").mapInArrow(run, AST)
 

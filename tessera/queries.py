@@ -521,7 +521,7 @@ def pages(spark, sf_dir) -> DataFrame:
 
 def by_page(spark, sf_dir, rule: dict) -> DataFrame:
     """(path, n): how many nodes of each page fit a rule."""
-    rules = structural.Rules(cut(structural.ast_table(pages(spark, sf_dir), "html", keep=256)))
+    rules = structural.Rules(cut(structural.ast_table(pages(spark, sf_dir), "html")))
     return rules.of(rule).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import Graph
 from tessera.operators import communities, derive, neighbors, reach, search, structural, textsearch, verbs
 from tessera.operators.reach import Scope
+from tessera.queries import QUERIES, pages
 from tessera.sources import stores
 from tessera.streaming import maintain
 
@@ -189,6 +190,17 @@ HTML = "<div id=a><ul><li>1</li><li><b>2</b></li><!-- c --><li>3</li></ul><p>x<b
 PY = "import os\n\ndef f(a, b):\n    x = g(a, b)\n    return g(a, a)\n\nclass K:\n    def m(self):\n        return f(1, *[2]) + f()\n"
 
 
+def test_rules_read_whole_texts(spark, tmp_path):
+    """A match far into a node counts, by the registered rule too, and texts larger than a batch stay whole."""
+    far = "x " * 300_000
+    html = {1: f"<title>{far}nation</title>", 2: f"<title>{far}</title>", 3: "<title>nation</title>", 4: f"<title>a</title><div><p>{far}é\nnation</p></div>"}
+    spark.createDataFrame([(k, v) for k, v in html.items()], "page_id long, html string").repartition(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, QUERIES["p_regex_rule"](spark, str(tmp_path)).collect())) == [("1", 1), ("3", 1)]
+    ast = structural.ast_table(pages(spark, str(tmp_path)), "html").cache()
+    assert all(r["text"] == html[int(r["path"])][r["start"] : r["end"]] for r in ast.collect())
+    assert [tuple(r) for r in structural.Rules(ast).of({"all": [{"kind": "p"}, {"regex": "é\nnation"}]}).select("path").collect()] == [("4",)]
+
+
 def test_rules(spark):
     files = spark.createDataFrame([("h", HTML)], "path string, text string")
     ast = structural.ast_table(files, "html").cache()
