@@ -1,23 +1,26 @@
 """Exact Jaccard self-join of documents' word n-grams, with token-combination prefixes.
 
-A document's set holds the hashes of its distinct runs of ``size`` words. All sets share one order: tokens of a frequent class last, then
-by how rare their words are, then by hash. Two sets of Jaccard similarity t or more share at least two tokens among their first
-n - ceil(t * n) + 2 tokens. So these extended prefixes are indexed by single tokens of the rare class and by pairs of tokens of the frequent
-class: a shared rare token, or two shared frequent ones, bring every similar pair together, and a frequent token alone
-brings nothing. Candidates that could not reach the needed overlap, given what their prefixes share, go; the others are verified on
-their whole sets.
-
-Steps, none of which holds a group in one task's memory or emits all pairs of a group of copies:
-equal sets are grouped by a digest and only the smallest id goes on; each index entry's documents are first verified against the
-entry's smallest document only and linked ones united; then all pairs of an entry that lie in different
-components are candidates. Pairs inside a component need no test, so the components are exact.
+A document's set holds the hashes (56 bits) of its distinct runs of ``size`` words; similarity is that of these sets. All sets share one
+order: tokens of a frequent class last, then by how rare their words are, then by hash. With d = n - ceil(t * n), two sets of Jaccard
+similarity t or more share a token among their first d + 1, and b + 1 tokens among their first d + b + 1. If the first shared token is rare,
+single keys of the rare tokens among the first d + 1 meet. Otherwise no rare token is shared, so b + 1 frequent ones are; dealt
+into b buckets by their hash, two of them fall into one. So frequent tokens are indexed by pairs that lie in one bucket, about
+four times b of them, with b near d: the number of keys grows as the set. A frequent token alone brings nothing.
+
+Each set also carries a parity bitmap: its bits differ from another's in at most as many places as the sets do, so a pair of bitmaps that differ in
+more places than similar sets can is no candidate. The tokens of a prefix that no other prefix holds bound the partner's size.
+
+Steps, none of which holds a group in one task's memory or returns all pairs of a group of copies: equal sets are grouped by
+a digest and one row goes on for each; each key's documents are verified against the key's least changed document, and linked ones united; then
+pairs of a key that lie in different components and pass bitmap and size bounds are candidates, and verified. Pairs inside a component need no
+test, so the components are exact.
 
 Which tokens are frequent affects the work alone, never the result: the words and tokens taken for frequent are the most frequent
-LISTED, counted over all documents; any others stand in the rare class.
+WORDS and LISTED, counted over all documents; any others stand in the rare class.
 
 Defined cases: a null text or one without words has an empty set and links with nothing; a text of fewer words than ``size`` is one
-token; rows with a null id have their set counted, link with nothing and have a null component; rows that repeat an id are one node;
-texts are read whole; further columns are ignored; an empty table gives an empty result.
+token; rows with a null id have their set counted, link with nothing and have a null component; rows that repeat an id are one node, whose
+links are those of all its texts; texts are read whole; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,11 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import Recent, components, cut, release
 
-#: A token in the prefixes of more than so many sets is of the frequent class; words and tokens listed at most, each way; ids of a broadcast at most.
-FREQUENT, LISTED, BROADCAST = 50, 1 << 16, 400_000
+#: A token in the first tokens of more than so many sets is of the frequent class; words and tokens listed at most; ids of a broadcast at most.
+FREQUENT, WORDS, LISTED, BROADCAST = 50, 1 << 16, 1 << 20, 400_000
 #: Bits of a token's hash, below six of its rank by rarity; the bit above marks the frequent class.
 BITS, LATE = 56, 1 << 62
-CACHE = 200_000
+#: Entries of a lookup cache, and bits of a parity bitmap.
+CACHE, PARITY = 200_000, 512
+MAPS = [f"m{k}" for k in range(PARITY // 64)]
 M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 
 
@@ -50,12 +55,13 @@ def split(text: str | None) -> list[bytes]:
 class Shingler:
     """Sorted token sets; the six upper bits of a token hold the rarity of its words, rare first."""
 
-    def __init__(self, size: int, levels: dict[bytes, int]):
+    def __init__(self, size: int, levels: dict[int, int]):
         self.size, self.levels = size, levels
         self.known = Recent(self.word, CACHE)
 
     def word(self, w: bytes) -> bytes:
-        return (self.levels.get(w, 0) << 58 | xxhash.xxh64_intdigest(w) >> 6).to_bytes(8, "little")
+        h = xxhash.xxh64_intdigest(w)
+        return (self.levels.get(h, 0) << 58 | h >> 6).to_bytes(8, "little")
 
     def tokens(self, text: str | None) -> np.ndarray:
         found = split(text)
@@ -88,49 +94,57 @@ def least(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def prefix_size(n: int, num: int, den: int, k: int = 2) -> int:
-    return min(n, n - least(n, num, den) + k)
+def buckets(n: int, num: int, den: int) -> int:
+    """Buckets of frequent tokens for pairs whose larger set has n tokens: a power of two, near the tokens in which n may differ."""
+    return 1 << max(0, (n - least(n, num, den)).bit_length() - 1)
 
 
 def word_levels(docs: DataFrame, text_col: str) -> tuple:
-    """(word, level) of the most frequent words; the level grows with the logarithm of the count, from 1 to 20."""
+    """(word's hash, level) of the most frequent words; the level grows with the logarithm of the count, from 1 to 20."""
 
     def count(batches):
         seen: Counter = Counter()
-        total = 0
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(split(t))
-            if len(seen) > 2 * CACHE:  # only the most frequent are asked for; what is left out here just counts as rarer
-                total += 1
-                seen = Counter(dict(seen.most_common(LISTED)))
-        top = seen.most_common(LISTED)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["w", "n"])
-
-    counted = docs.select(text_col).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "w").limit(LISTED).collect()
-    if not top:
+                if len(seen) > 2 * CACHE:  # only the most frequent are asked for; what is left out here just counts as rarer
+                    seen = Counter(dict(seen.most_common(CACHE)))
+        top = seen.most_common(WORDS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(w) for w, _ in top], np.uint64).view(np.int64)), pa.array([n for _, n in top], pa.int64())], names=["w", "n"])
+
+    counted = docs.select(text_col).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "w").limit(WORDS).toArrow()
+    if not top.num_rows:
         return ()
-    most = top[0]["n"].bit_length()
-    return tuple((bytes(r["w"]), max(1, 20 - 20 * (most - r["n"].bit_length()) // max(20, most))) for r in top)
+    words, counts = top.column("w").to_numpy().view(np.uint64).tolist(), top.column("n").to_pylist()
+    most = counts[0].bit_length()
+    return tuple((w, max(1, 20 - 20 * (most - n.bit_length()) // max(20, most))) for w, n in zip(words, counts, strict=True))
+
+
+def digest_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of PARITY hash values whether an odd number of tokens has it, as 64-bit integers."""
+    return np.packbits((np.bincount(tokens & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, size: int, held) -> DataFrame:
-    """(id, n, tokens binary)"""
+    """(digest, tokens binary)"""
 
     def run(batches):
         own = shingler(size, held.value)
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                c = b.slice(at, 256)
-                t = [own.tokens(x) for x in c.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), pa.array([len(x) for x in t], pa.int64()), pa.array([x.tobytes() for x in t], pa.binary())], names=["id", "n", "tokens"])
+                t = [own.tokens(x) for x in b.slice(at, 256).column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in t], pa.binary()), pa.array([x.tobytes() for x in t], pa.binary())], names=["digest", "tokens"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, tokens binary")
+    return docs.select(text_col).mapInArrow(run, "digest binary, tokens binary")
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, held) -> DataFrame:
-    """(id, n, digest, first): the set's size and digest, and more than its prefix under the order without a frequent class."""
+    """(id, n, digest, first, MAPS): the set's size, digest and bitmap, and half as many tokens again as its prefix without a frequent class holds."""
 
     def run(batches):
         own = shingler(size, held.value)
@@ -138,85 +152,90 @@ def digests(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, de
             for at in range(0, b.num_rows, 256):
                 c = b.slice(at, 256)
                 t = [own.tokens(x) for x in c.column(1).to_pylist()]
-                first = [x[: 3 * prefix_size(len(x), num, den) // 2] for x in t]
-                yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), pa.array([len(x) for x in t], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in t], pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["id", "n", "digest", "first"])
+                first = [x[: 3 * (len(x) - least(len(x), num, den) + 2) // 2] for x in t]
+                maps = np.stack([parity(x) for x in t])
+                yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), pa.array([len(x) for x in t], pa.int64()), pa.array([digest_of(x) for x in t], pa.binary()), pa.array(first, pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(maps.T))], names=["id", "n", "digest", "first", *MAPS])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, digest binary, first array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, digest binary, first array<long>, " + ", ".join(f"{m} long" for m in MAPS))
 
 
-ENTRIES = "id long, n long, taken long, n_late long, last long, keys array<long>"
+ENTRIES = "node long, rare long, last long, keys array<long>"
 
 
-def entry(i, n: int, start: np.ndarray, late: np.ndarray, p: int) -> tuple | None:
-    """An id's index entry from the first tokens of its set: p of the rare class, then frequent ones; None if that takes more tokens.
+def entry(n: int, start: np.ndarray, late: np.ndarray, num: int, den: int) -> tuple | None:
+    """(rare tokens of the prefix, last token of the prefix, keys) from the first tokens of a set of n; None if that takes more of them.
 
     A pair of frequent tokens has a negative key.
     """
+    d = n - least(n, num, den)
     at = np.searchsorted(late, start)
     is_late = late[np.minimum(at, len(late) - 1)] == start if len(late) else np.zeros(len(start), bool)
-    if len(start) < n and len(start) - int(is_late.sum()) < p:
+    rare = start[~is_late][: d + 1]
+    if len(rare) > d:
+        return len(rare), int(rare[-1]), rare
+    if len(start) < n:
         return None
-    rare = start[~is_late][:p]
-    often = start[is_late][: p - len(rare)]
-    keys = rare
-    if len(often) > 1:
-        one, two = np.triu_indices(len(often), 1)
-        pairs = (often[one].view(np.uint64) * M[0] ^ often[two].view(np.uint64)) * M[1]
-        keys = np.concatenate([rare, (pairs >> np.uint64(1) | np.uint64(1 << 63)).view(np.int64)])
-    last = (int(often[-1]) | LATE) if len(often) else int(rare[-1]) if len(rare) else 0
-    return i, n, len(rare) + len(often), len(often), last, keys
+    often, keys = start[is_late], [rare]
+    for b in {buckets(n, num, den), buckets(n * den // num, num, den)}:  # that of the larger set counts: this one's or a partner's
+        part = often[: d + b + 1 - len(rare)]
+        h = part.view(np.uint64) * M[1]
+        where = ((h ^ (h >> np.uint64(31))) & np.uint64(b - 1)).astype(np.int64)
+        for place in np.flatnonzero(np.bincount(where, minlength=b) > 1):
+            own = part[where == place].view(np.uint64)
+            one, two = np.triu_indices(len(own), 1)
+            pairs = ((own[one] * M[0] ^ own[two]) * M[1] + np.uint64(b)) * M[2]
+            keys.append((pairs >> np.uint64(1) | np.uint64(1 << 63)).view(np.int64))
+    return len(rare), int(often[d - len(rare)]) | LATE, np.concatenate(keys)
 
 
-def entry_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["id", "n", "taken", "n_late", "last", "keys"])
+def entry_batch(nodes: list[int], found: list[tuple | None]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *[pa.array([f and f[k] for f in found], kind) if k < 2 else pa.array([None if f is None else f[k] for f in found], kind) for k, kind in enumerate(kinds)]], names=["node", "rare", "last", "keys"])
 
 
 def index_of_first(firsts: DataFrame, num: int, den: int, late) -> DataFrame:
-    """Index entries from (id, n, first); an id whose first tokens don't suffice comes back without keys."""
+    """Index entries from (node, n, first); a node whose first tokens don't suffice comes back without keys."""
 
     def run(batches):
         listed = late.value
         for b in batches:
-            out = []
-            for i, n, first in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                found = entry(i, n, np.array(first, np.int64), listed, prefix_size(n, num, den))
-                out.append(found or (i, n, None, None, None, None))
-            yield entry_batch(out)
+            nodes, sizes, first = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            flat, ends = first.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(first.value_lengths().to_numpy(zero_copy_only=False))])
+            yield entry_batch(nodes, [entry(n, flat[i:j], listed, num, den) for n, i, j in zip(sizes, ends[:-1], ends[1:], strict=True)])
 
-    return firsts.select("id", "n", "first").mapInArrow(run, ENTRIES)
+    return firsts.select("node", "n", "first").mapInArrow(run, ENTRIES)
 
 
-def index_of_texts(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, held, late) -> DataFrame:
-    """Index entries from whole texts."""
+def index_of_sets(whole: DataFrame, num: int, den: int, late) -> DataFrame:
+    """Index entries from (node, tokens)."""
 
     def run(batches):
-        own, listed = shingler(size, held.value), late.value
+        listed = late.value
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                c, out = b.slice(at, 256), []
-                for i, text in zip(c.column(0).to_pylist(), c.column(1).to_pylist(), strict=True):
-                    t = own.tokens(text)
-                    out.append(entry(i, len(t), t, listed, prefix_size(len(t), num, den)))
-                yield entry_batch(out)
+            t = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column(1)]
+            yield entry_batch(b.column(0).to_pylist(), [entry(len(x), x, listed, num, den) for x in t])
+
+    return whole.select("node", "tokens").mapInArrow(run, ENTRIES)
+
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ENTRIES)
+def semi(docs: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose ``on`` is in ids: broadcast if the ids are counted and few, else a shuffled join."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, on, how)
 
 
-def only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows whose id is in ids (id): broadcast if the ids are counted and few, else a shuffled semi-join."""
-    few = ids.count() <= BROADCAST
-    ids = ids.select(F.col("id").alias(id_col))
-    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_semi")
+def whole_sets(docs: DataFrame, nodes: DataFrame, heads: DataFrame, id_col: str, text_col: str, size: int, held) -> DataFrame:
+    """(node, tokens) of the nodes (node), from the texts of the rows that have their ids."""
+    wanted = cut(heads.join(nodes, "node", "left_semi"))
+    own = sets(semi(docs, wanted.select(F.col("id").alias(id_col)).distinct(), id_col), id_col, text_col, size, held)
+    return cut(own.join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("tokens").alias("tokens")))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, held) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar."""
+def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, held) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole sets are similar, as pairs of ids."""
     pairs = cut(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = cut(sets(only(docs, ids, id_col).dropDuplicates([id_col]), id_col, text_col, size, held))
+    own = whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), heads, id_col, text_col, size, held)
     release(docs.sparkSession)
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
 
     def run(batches):
         for b in batches:
@@ -230,79 +249,96 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
                 good.append(den * same >= num * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    found = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    for side in "ab":
+        found = found.join(heads.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id")), side)
+    return cut(found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id) for every row: sets of num / den similarity or more link."""
+    """(id, n_shingles, component_id) for every row: sets of num / den similarity or more link; more than a half."""
+    if not den < 2 * num <= 2 * den:
+        raise ValueError("the similarity must be above 0.5 and at most 1")
     spark = docs.sparkSession
     broadcast = spark.sparkContext.broadcast
     known = docs.where(F.col(id_col).isNotNull())
-    how = (id_col, text_col, size, num, den)
-    held = broadcast(word_levels(docs, text_col))  # LISTED words at most
-    base = cut(digests(docs, *how, held))
-    # equal sets: the smallest id stands for all
-    heads = cut(base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("head")))
-    lead = heads.select(F.col("head").alias("id")).distinct()
-    firsts = base.where("n > 0").join(lead, "id", "left_semi").dropDuplicates(["id"])
+    held = broadcast(word_levels(docs, text_col))  # WORDS at most
+    base = cut(digests(docs, id_col, text_col, size, num, den, held).withColumn("row", F.monotonically_increasing_id()))
+    # equal sets: one row, the node, stands for all
+    heads = base.where("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("row", "id")).alias("x"))
+    heads = cut(heads.select("digest", F.col("x.row").alias("node"), F.col("x.id").alias("id")))
+    firsts = base.withColumnRenamed("row", "node").join(heads.select("node"), "node", "left_semi")
+    # a set that may not differ at all is linked by its digest already
+    firsts = firsts.where(f"{den} * n - {num} * n >= {den} or (n * {den}) div {num} > n")
     counts = firsts.select(F.explode("first").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT)
-    late = broadcast(np.array(sorted(r["token"] for r in counts.orderBy(F.desc("c"), "token").limit(LISTED).collect()), np.int64))
+    late = broadcast(np.sort(counts.orderBy(F.desc("c"), "token").limit(LISTED).toArrow().column("token").to_numpy()))
     release(spark)
     entries = cut(index_of_first(firsts, num, den, late))
-    if not (long := cut(entries.where("keys is null").select("id"))).isEmpty():
-        # where frequent tokens fill the beginning, the whole text is read again; of a repeated id one row counts, as in firsts
-        again = index_of_texts(only(known, long, id_col), *how, held, late).dropDuplicates(["id"])
-        entries = cut(entries.where("keys is not null").unionByName(again.where("n > 0")))
+    if not (long := cut(entries.where("keys is null").select("node"))).isEmpty():
+        # where frequent tokens fill the beginning, the whole text is read again
+        again = index_of_sets(whole_sets(known, long, heads, id_col, text_col, size, held), num, den, late)
+        entries = cut(entries.where("keys is not null").unionByName(again))
     release(spark)
-    about = entries.drop("keys")
-    posted = entries.select("id", F.explode("keys").alias("key"))
-    shared = cut(posted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).where("c > 1").drop("c"))
-    live = cut(posted.join(shared, "key"))
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """With n, taken, n_late and last of both documents, and the overlap they need."""
-        for side in "ab":
-            pairs = pairs.join(about.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "taken", "n_late", "last")]), side)
-        return pairs.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").withColumn("need", F.expr(f"cast(ceil({num} * (n_a + n_b) / {num + den}) as long)"))
+    posted = entries.select("node", "rare", F.explode("keys").alias("key"))
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rare", "node")).alias("lead")).where("c > 1")
+    live = cut(posted.join(shared.select("key", F.col("lead.node").alias("lead")), "key").select("key", "node", "lead"))
+    # of a pair, the set whose prefix ends first holds none of its own rare tokens in common with the other: that bounds the other's size
+    met = live.where("key >= 0").groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+    about = base.withColumnRenamed("row", "node").select("node", "n", *MAPS).join(entries.select("node", "rare", "last"), "node").join(met, "node", "left")
+    about = cut(about.withColumn("most", F.expr(f"((n - rare + coalesce(met, 0)) * {num + den}) div {num} - n")).select("node", "n", "last", "most", *MAPS))
+    near = " + ".join(f"bit_count(a_{m} ^ b_{m})" for m in MAPS)
+    may = F.expr(f"""{den} * least(a_n, b_n) >= {num} * greatest(a_n, b_n) and if(a_last <= b_last, b_n <= a_most, true) and if(b_last <= a_last, a_n <= b_most, true)
+        and ({near}) * {num + den} <= (a_n + b_n) * {den - num}""")
+
+    def side(name: str, of: DataFrame) -> DataFrame:
+        return of.select(*[F.col(c).alias(name if c == "node" else c if c == "key" else f"{name}_{c}") for c in of.columns])
 
     release(spark)
-    alone = F.sum((F.col("key") >= 0).cast("long")).alias("one")
-    stars = live.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(alone, F.count(F.lit(1)).alias("any"))
-    hopeful = sized(stars).where("4 * any >= least(taken_a, taken_b)").select("a", "b")
-    links = verified(hopeful, docs, id_col, text_col, size, num, den, held)
+    how = (heads, id_col, text_col, size, num, den, held)
+    stars = live.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    hopeful = stars.join(side("a", about), "a").join(side("b", about), "b").where(may).select("a", "b")
+    links = verified(hopeful, known, *how)
     release(spark)
     united = components(links)
     release(spark)
-    homed = live.drop("lead").join(united.withColumnRenamed("node", "id"), "id", "left").withColumn("home", F.coalesce("component", "id")).drop("component")
+    homes = heads.select("node", "id").join(united.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("home"))
+    homed = live.drop("lead").join(homes, "node")
     mixed = homed.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("key")
-    open_ = cut(homed.join(mixed, "key", "left_semi"))
-    x, y = open_.select("key", F.col("id").alias("a"), F.col("home").alias("ha")), open_.select("key", F.col("id").alias("b"), F.col("home").alias("hb"))
-    crossed = x.join(y, (x["key"] == y["key"]) & (F.col("ha") != F.col("hb")) & (F.col("a") < F.col("b"))).select(x["key"], "a", "b").groupBy("a", "b").agg(alone)
-    # all of the prefix that ends first is known to be shared or not: the overlap can't exceed what is shared and the rest of that set
-    most = F.expr("one + least(n_late_a, n_late_b) + case when last_a <= last_b then n_a - taken_a else n_b - taken_b end")
+    open_ = cut(homed.join(mixed, "key", "left_semi").join(about, "node"))
+    crossed = side("a", open_).join(side("b", open_), "key").where("a < b and a_home <> b_home").where(may).select("a", "b").distinct()
     del homed, mixed, stars, hopeful, posted
-    left = sized(crossed).where(most >= F.col("need")).select("a", "b")
-    release(spark)
-    more = verified(left, docs, id_col, text_col, size, num, den, held)
+    more = verified(crossed, known, *how)
     release(spark)
-    members = base.where("n > 0 and id is not null").join(heads, "digest").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    members = base.where("n > 0 and id is not null").join(heads.select("digest", F.col("id").alias("head")), "digest").select(F.col("id").alias("a"), F.col("head").alias("b"))
     found = components(links.unionByName(more).unionByName(members))
     return base.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without those that are linked, over any number of links, with one of a smaller id; rows with a null id stay."""
-    gone = join(docs, id_col, **how).where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of docs for each component: of the smallest id, and of that id's rows the one with the smallest text.
+
+    Rows with a null id count as rows of an id made of their text's hash, behind all other ids.
+    """
+    made = f"_{'_'.join(docs.columns)}"  # no column's name
+    marked = docs.withColumn(made, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)))
+    gone = join(marked.select(F.col(made), F.col(text_col).alias(made + "t")), made, made + "t", **how).where(F.col("component_id") < F.col(made)).select(made).distinct()
+    left = semi(marked, cut(gone), made, "left_anti")
+    repeated = cut(marked.groupBy(made).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(made))
+    once = semi(left, repeated, made, "left_anti").select(*docs.columns)
+    first = semi(left, repeated, made).groupBy(made).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("x"))
+    return once.unionByName(first.select("x.*"))
 
 
 def sql(source: str = "documents", size: int = 3, num: int = 90, den: int = 100) -> str:
-    """DuckDB SQL of join() for small tables."""
-    return f"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as l from {source}),
-s as (select distinct doc_id, unnest(case when len(l) = 0 then [] when len(l) < {size} then [l] else list_transform(range(1, len(l) - {size} + 2), lambda i: list_slice(l, i, i + {size} - 1)) end) as g from w),
-z as (select doc_id, count(*) as n from s group by doc_id),
-o as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
-e as (select a, b from o join z x on x.doc_id = a join z y on y.doc_id = b where {den} * c >= {num} * (x.n + y.n - c)),
-sides as (select a, b from e union all select b, a from e),
-r as (select doc_id as node, doc_id as seen from {source} union select r.node, sides.b from r join sides on sides.a = r.seen)
-select doc_id, coalesce(n, 0) as n_shingles, component_id from (select distinct doc_id from {source}) join (select node, min(seen) as component_id from r group by node) on node = doc_id left join z using (doc_id)"""
+    """DuckDB SQL of join() for small tables; rows that repeat an id are linked."""
+    return f"""with recursive d as (select *, row_number() over () as rid from (select doc_id, text from {source})),
+w as (select rid, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as l from d),
+s as (select distinct rid, unnest(case when len(l) = 0 then [] when len(l) < {size} then [l] else list_transform(range(1, len(l) - {size} + 2), lambda i: list_slice(l, i, i + {size} - 1)) end) as g from w),
+z as (select rid, count(*) as n from s group by rid),
+o as (select a.rid as a, b.rid as b, count(*) as c from s a join s b on a.g = b.g and a.rid < b.rid group by all),
+e as (select distinct p.doc_id as a, q.doc_id as b from o join z x on x.rid = a join z y on y.rid = b join d p on p.rid = a join d q on q.rid = b
+  where {den} * c >= {num} * (x.n + y.n - c) and p.doc_id <> q.doc_id),
+sides as (select a, b from e union select b, a from e),
+r as (select distinct doc_id as node, doc_id as seen from d where doc_id is not null union select r.node, sides.b from r join sides on sides.a = r.seen),
+c as (select node, min(seen) as component_id from r group by node)
+select doc_id, coalesce(n, 0) as n_shingles, component_id from d left join z using (rid) left join c on node = doc_id"""
