@@ -18,11 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset and the master is local, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "/tmp/tessera-checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -41,19 +41,36 @@ def release(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one for files that an operator writes."""
-    base = shared_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one for files that an operator writes; it goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Recent(dict):
-    """A look-up of make(key) that holds what was used of late: between ``most`` and twice as many entries."""
+    """A look-up of make(key) that holds what was used of late: between ``most`` and twice as many entries.
+
+    Keys longer than LONG_KEY are made anew each time, so entries bound bytes too.
+    """
+
+    LONG_KEY = 64
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONG_KEY:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
@@ -64,6 +81,20 @@ class Recent(dict):
         return value
 
 
+#: Rows of a broadcast at most.
+BROADCAST = 400_000
+
+
+def semi(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi", most: int | None = None) -> DataFrame:
+    """The rows of df whose ``on`` is in keys: broadcast if the keys are counted and few, else a shuffled join."""
+    return df.join(F.broadcast(keys) if keys.count() <= (BROADCAST if most is None else most) else keys, on, how)
+
+
+def unused(df: DataFrame) -> str:
+    """A name that no column of df has."""
+    return f"_{'_'.join(df.columns)}"
+
+
 def words(text: Column) -> Column:
     """The words of a text; of null: an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

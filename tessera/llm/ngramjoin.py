@@ -35,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, components, cut, release
+from .common import Recent, components, cut, release, semi, unused
 
-#: A token in the first tokens of more than so many sets is of the frequent class; words and tokens listed at most; ids of a broadcast at most.
-FREQUENT, WORDS, LISTED, BROADCAST = 50, 1 << 16, 1 << 20, 400_000
+#: A token in the first tokens of more than so many sets is of the frequent class; words and tokens listed at most.
+FREQUENT, WORDS, LISTED = 50, 1 << 16, 1 << 20
 #: Bits of a token's hash, below six of its rank by rarity; the bit above marks the frequent class.
 BITS, LATE = 56, 1 << 62
 #: Entries of a lookup cache, and bits of a parity bitmap.
@@ -218,11 +218,6 @@ def index_of_sets(whole: DataFrame, num: int, den: int, late) -> DataFrame:
     return whole.select("node", "tokens").mapInArrow(run, ENTRIES)
 
 
-def semi(docs: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """The rows whose ``on`` is in ids: broadcast if the ids are counted and few, else a shuffled join."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, on, how)
-
-
 def whole_sets(docs: DataFrame, nodes: DataFrame, heads: DataFrame, id_col: str, text_col: str, size: int, held) -> DataFrame:
     """(node, tokens) of the nodes (node), from the texts of the rows that have their ids."""
     wanted = cut(heads.join(nodes, "node", "left_semi"))
@@ -319,7 +314,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with a null id count as rows of an id made of their text's hash, behind all other ids.
     """
-    made = f"_{'_'.join(docs.columns)}"  # no column's name
+    made = unused(docs)
     marked = docs.withColumn(made, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)))
     gone = join(marked.select(F.col(made), F.col(text_col).alias(made + "t")), made, made + "t", **how).where(F.col("component_id") < F.col(made)).select(made).distinct()
     left = semi(marked, cut(gone), made, "left_anti")

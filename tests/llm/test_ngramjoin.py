@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.llm import ngramjoin
+from tessera.llm import common, ngramjoin
 from tessera.llm.common import components
 
 
@@ -115,7 +115,7 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("broadcast", [0, 400_000])
 def test_repeated_ids(spark, monkeypatch, broadcast):
     """Each text of an id links; the SQL says the same; one row of each group stays."""
-    monkeypatch.setattr(ngramjoin, "BROADCAST", broadcast)
+    monkeypatch.setattr(common, "BROADCAST", broadcast)
     monkeypatch.setattr(ngramjoin, "FREQUENT", 2)
     words = [f"w{k}" for k in range(100)]
     one, two = " ".join(words), " ".join(reversed(words))
