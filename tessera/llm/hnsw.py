@@ -1,20 +1,24 @@
 """Embedding near-duplicates over hierarchical navigable small-world graphs, one for each shard.
 
-Equal vectors are grouped first. The distinct ones are dealt into shards by a hash, a graph is built over each, and every vector queries every
-shard's graph: greedily through the upper layers, with a beam on the lowest, then on from each vector that is near enough
-to its neighbours, so no number of partners is a limit. In each shard a sample of queries is audited against all of the shard's vectors;
-while their recall is short, the beam is doubled and the shard searched again. Pairs are kept
-after their cosine is computed in double precision, and linked vectors are united by connected components.
+Equal vectors are grouped first. The distinct ones of each length are dealt into shards by a hash, a graph is built over each, and every vector queries every
+shard's graph: greedily through the upper layers, with a beam on the lowest. A query whose whole beam is near enough may have more
+partners than the beam is wide, so it is compared with all of the shard: no number of partners is a limit. In each shard a sample of queries is
+audited against all of the shard's vectors, without themselves, over all partners and for each probe; while recall is short, the beam is doubled. A
+shard on which no beam reaches it is compared vector by vector. Pairs are kept after their cosine is computed in double precision, and linked vectors are
+united by connected components. A graph is built by one task and read by the tasks of all slices of the queries.
 
-Cosines are those of the vectors as stored, widened to double: equal direction at another length links too.
+Cosines are those of the vectors as stored, widened to double: equal direction at another length links too. n_links counts what a vector's own
+query found.
 
-Defined cases: a vector that is null, of no or another length than most, zero, or with a null or non-finite component links with nothing and stands
-alone; a null id is kept with a null component and links with nothing; rows that repeat an id count as other vectors
+Defined cases: a vector that is null, of no length, zero, or with a null or non-finite component links with nothing and stands
+alone; vectors of other lengths link among themselves only; a null id is kept with a null component and links with nothing; rows that repeat an id count as other vectors
 of that id, and are one node; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,10 +28,14 @@ from .common import components, cut
 
 #: Shards at least; neighbours of a node (twice as many on the lowest layer); beam while building; least beam of a query.
 SHARDS, DEGREE, BUILD, BEAM = 6, 12, 48, 32
-#: Audited queries of a shard, recall to reach, and how far below the least cosine the walk still goes on.
-AUDITED, RECALL, SLACK = 128, 0.999, 0.04
-#: Queries that walk a graph side by side at most, bytes of their marks of seen nodes, nodes inserted together, vectors of a shard.
-LOCKSTEP, MARKS, BATCH, PER_SHARD = 2048, 32 << 20, 512, 200_000
+#: Audited queries of a shard, recall to reach, and how far below the least cosine a full beam still asks for the whole shard.
+AUDITED, RECALL, SLACK = 256, 0.99, 0.02
+#: Queries that walk a graph side by side at most, bytes of their marks of seen nodes, nodes inserted together, vectors of a shard and of a slice of queries, cosines at once.
+LOCKSTEP, MARKS, BATCH, PER_SHARD, PER_SLICE, BLOCK = 2048, 32 << 20, 512, 200_000, 16_384, 1 << 22
+
+
+#: Cosines in single precision are off by less.
+NEAR = 1e-4
 
 
 class Graph:
@@ -63,13 +71,14 @@ class Graph:
             found, sims = np.concatenate([near, np.broadcast_to(new, own.shape)], 1), np.concatenate([sims, own], 1)
             order = np.argsort(-sims, axis=1, kind="stable")[:, :build]
             found, sims = np.take_along_axis(found, order, 1), np.take_along_axis(sims, order, 1)
+            chosen = []
             for row in inside.tolist():
-                node, width = new[row], self.layers[k].shape[1]
                 ok = (found[row] >= 0) & (sims[row] > -np.inf)
-                picked = self.spread(found[row][ok], sims[row][ok], self.degree)
-                self.layers[k][node, : len(picked)] = picked
+                chosen.append((new[row], self.spread(found[row][ok], sims[row][ok], self.degree)))
+                self.layers[k][new[row], : len(chosen[-1][1])] = chosen[-1][1]
+            for node, picked in chosen:
                 for other in picked:
-                    self.link(k, other, node, width)
+                    self.link(k, other, node, self.layers[k].shape[1])
 
     def spread(self, candidates: np.ndarray, sims: np.ndarray, most: int) -> list[int]:
         """Candidates, near first, each nearer to the node than to any picked before; then the nearest of the rest."""
@@ -89,6 +98,8 @@ class Graph:
 
     def link(self, k: int, node: int, other: int, width: int) -> None:
         own = self.layers[k][node]
+        if (own == other).any():
+            return
         free = np.flatnonzero(own < 0)
         if len(free):
             own[free[0]] = other
@@ -147,36 +158,44 @@ class Graph:
         for k in range(len(self.layers) - 1, 0, -1):
             near = self.beam(q, near[:, :1], k, 1)[0]
         ids, sims = self.beam(q, near, 0, min(width, len(self.x)))
-        low = least - SLACK
-        r, c = np.nonzero((ids >= 0) & (sims >= low))
-        n = len(self.x)
-        known = np.unique(r * n + ids[r, c])
-        edge = known
-        while len(edge):  # walk on from every node that is near enough
-            qs, nodes = edge // n, edge % n
-            near = self.layers[0][nodes]
-            a, b = np.nonzero(near >= 0)
-            new = np.setdiff1d(np.unique(qs[a] * n + near[a, b]), known, assume_unique=True)
-            s = np.einsum("ij,ij->i", q[new // n], self.x[new % n])
-            edge = new[s >= low]
-            known = np.union1d(known, edge)
-        qs, nodes = known // n, known % n
-        good = np.einsum("ij,ij->i", q[qs], self.x[nodes]) >= least - 1e-4
-        return qs[good], nodes[good]
-
-
-def search(graph: Graph, probes: np.ndarray, least: float, beam: int = BEAM, recall: float = RECALL) -> int:
-    """A beam's width at which the probes' recall against all of the shard is reached."""
-    truth = (probes @ graph.x.T) >= least
-    width = beam
-    while width < len(graph.x):
-        q, node = graph.within(probes, least, width)
+        full = (ids[:, -1] >= 0) & (sims[:, -1] >= least - SLACK)
+        r, c = np.nonzero((ids >= 0) & (sims >= least - NEAR) & ~full[:, None])
+        rows = np.flatnonzero(full)
+        more, nodes = self.exact(q[rows], least)
+        known = np.unique(r * len(self.x) + ids[r, c])
+        return np.concatenate([known // len(self.x), rows[more]]), np.concatenate([known % len(self.x), nodes])
+
+    def exact(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs of cosine ``least`` or more, from all nodes, block by block."""
+        step, found = max(1, BLOCK // max(1, len(self.x))), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(q), step):
+            r, c = np.nonzero(q[at : at + step] @ self.x.T >= least - NEAR)
+            found.append((r + at, c))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def search(graph: Graph, probes: np.ndarray, least: float, beam: int = BEAM, recall: float = RECALL) -> tuple[int, float]:
+    """A beam's width at which the recall of the nodes ``probes`` is reached, and that recall; width 0 if none reaches it: the shard is to be searched exactly.
+
+    Recall is the lesser of that over all pairs and the mean over probes with partners, each without the probe itself.
+    """
+    q = graph.x[probes]
+    truth = np.zeros((len(probes), len(graph.x)), bool)
+    truth[graph.exact(q, least)] = True
+    truth[np.arange(len(probes)), probes] = False
+    any_, width = truth.any(1), beam
+    if not any_.any():
+        return beam, 1.0
+    while True:
         found = np.zeros_like(truth)
-        found[q, node] = True
-        if (found & truth).sum() >= recall * truth.sum():
-            break
+        found[graph.within(q, least, width)] = True
+        both = found & truth
+        reached = min(both.sum() / truth.sum(), float((both.sum(1)[any_] / truth.sum(1)[any_]).mean()))
+        if reached >= recall:
+            return width, reached
         width *= 2
-    return width
+        if width > max(beam, len(graph.x) // 8):  # comparing all is no dearer than so wide a beam
+            return 0, 1.0
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -212,23 +231,51 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = F.coalesce(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0), F.lit(False))
     key = F.when(F.col("usable"), F.md5(F.concat_ws(",", F.transform("v", lambda x: x.cast("string")))))
     marked = rows.withColumn("usable", usable).withColumn("key", key)
-    sizes = marked.where("usable").groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    marked = marked.withColumn("usable", F.col("usable") & (F.size("v") == (sizes["dim"] if sizes else 0)))
     good = marked.where("usable")
     distinct = cut(good.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v")))
-    shards = max(shards, -(-distinct.count() // PER_SHARD))
+    # shards of each length of vectors; a row a length
+    first, plan = 0, []
+    for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
+        parts = max(min(shards, -(-r["n"] // 32)), -(-r["n"] // PER_SHARD))
+        plan.append((r["dim"], first, parts, -(-r["n"] // PER_SLICE)))
+        first += parts
+    if not plan:
+        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    lengths = vectors.sparkSession.createDataFrame(plan, "dim int, first int, parts int, slices int")
+    dealt = cut(distinct.withColumn("dim", F.size("v")).join(F.broadcast(lengths), "dim").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts"))).cast("int")))
+
+    def build(batches):
+        own: list[tuple] = []
+        shard, slices = None, 0
+        for b in batches:
+            if b.num_rows:
+                shard, slices = b.column(0)[0].as_py(), b.column(1)[0].as_py()
+                own.append((np.asarray(b.column(2)), np.asarray(b.column(3)), unit(b.column(4))))
+        if shard is not None:
+            ids, counts, full = (np.concatenate([o[k] for o in own]) for k in range(3))
+            order = np.argsort(ids, kind="stable")
+            ids, counts, full = ids[order], counts[order], full[order]
+            graph = Graph(full)
+            probes = np.unique(np.linspace(0, len(full) - 1, min(AUDITED, len(full))).astype(int))
+            width, recall = search(graph, probes, least)
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "slices": [slices], "width": [width], "recall": [recall], "graph": [pickle.dumps((ids, counts, full, graph.layers, graph.tops))]}, schema=pa.schema([("shard", pa.int32()), ("slices", pa.int32()), ("width", pa.int64()), ("recall", pa.float64()), ("graph", pa.binary())]))
 
-    # each shard's task reads its own vectors first, builds the graph, then streams all vectors as queries
-    shard = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(shards)).cast("int")
-    own = distinct.select(shard.alias("shard"), F.lit(0).alias("asks"), "head", "n", "v")
-    asked = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "head", "n", "v")
-    dealt = own.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("asks", "head")
+    graphs = cut(dealt.repartitionById(first, F.col("shard")).select("shard", "slices", "head", "n", "v").mapInArrow(build, "shard int, slices int, width long, recall double, graph binary"))
+
+    # a task for each shard and slice of the queries: it reads the graph first, then streams the queries
+    most = max(p[3] for p in plan)
+    held = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("asks"), "width", "graph", F.lit(0).cast("long").alias("head"), F.array().cast("array<double>").alias("v"))
+    slice_ = F.pmod(F.xxhash64("key", F.lit(11)), F.col("slices")).cast("int")
+    asked = dealt.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("shard"), slice_.alias("slice"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("width"), F.lit(None).cast("binary").alias("graph"), "head", "v")
+    tasks = held.unionByName(asked).withColumn("task", F.col("shard") * most + F.col("slice"))
+    tasks = tasks.repartitionById(first * most, F.col("task")).sortWithinPartitions("asks")
 
     def run(batches):
-        ids, counts, parts, graph, kept = [], [], [], None, []
+        graph = None
 
-        def answer(heads: np.ndarray, x: np.ndarray, width: int):
-            q, node = graph.within(x.astype(np.float32), least, width)
+        def answer(heads: np.ndarray, x: np.ndarray):
+            low = x.astype(np.float32)
+            q, node = graph.within(low, least, width) if width else graph.exact(low, least)
             exact = np.einsum("ij,ij->i", x[q], full[node]) >= least
             q, node = q[exact], node[exact]
             other = heads[q] != own_ids[node]
@@ -239,26 +286,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([heads[at], np.array([e[0] for e in tree], np.int64)])), pa.array([None] * len(at) + [e[1] for e in tree], pa.int64()), pa.array(n[at].tolist() + [0] * len(tree), pa.int64())], names=["a", "b", "n"])
 
         for b in batches:
-            asks, heads, ns, vs = np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)), b.column(3)
-            cutoff = int((asks == 0).sum())
-            if cutoff:
-                ids.append(heads[:cutoff])
-                counts.append(ns[:cutoff])
-                parts.append(unit(vs.slice(0, cutoff)))
-            if cutoff == b.num_rows or not ids:
-                continue
-            heads, x = heads[cutoff:], unit(vs.slice(cutoff))
-            if graph is None:
-                own_ids, own_n, full = np.concatenate(ids), np.concatenate(counts), np.concatenate(parts)
-                graph = Graph(full)
-                # audited are vectors of the shard itself and the first that ask
-                probes = np.concatenate([full[np.unique(np.linspace(0, len(full) - 1, min(AUDITED, len(full))).astype(int))], x[:AUDITED]]).astype(np.float32)
-                width = search(graph, probes, least)
-                step = int(max(64, min(LOCKSTEP, MARKS // max(1, len(full)))))
-            for at in range(0, len(heads), step):
-                yield answer(heads[at : at + step], x[at : at + step], width)
-
-    found = cut(dealt.select("asks", "head", "n", "v").mapInArrow(run, "a long, b long, n long"))
+            asks = np.asarray(b.column(0))
+            if graph is None and b.num_rows:
+                width = b.column(1)[0].as_py()
+                own_ids, own_n, full, layers, tops = pickle.loads(b.column(2)[0].as_py())
+                graph = Graph(np.zeros((0, full.shape[1])))
+                graph.x, graph.layers, graph.tops = np.ascontiguousarray(full, np.float32), layers, tops
+                step = int(max(64, min(LOCKSTEP, MARKS // max(1, len(full)), BLOCK * 4 // max(1, len(full)))))
+            at = int((asks == 0).sum())
+            if at < b.num_rows:
+                heads, x = np.asarray(b.column(3).slice(at)), unit(b.column(4).slice(at))
+                for k in range(0, len(heads), step):
+                    yield answer(heads[k : k + step], x[k : k + step])
+
+    found = cut(tasks.select("asks", "width", "graph", "head", "v").mapInArrow(run, "a long, b long, n long"))
     united = components(found.where("b is not null").select("a", "b").unionByName(good.join(distinct.select("key", "head"), "key").select(F.col("id").alias("a"), F.col("head").alias("b"))))
     links = found.where("b is null").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("more"))
     counted = distinct.join(links, "head", "left").select("key", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))

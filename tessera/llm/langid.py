@@ -15,6 +15,7 @@ ids teach nothing; texts of any length are read whole; repeated rows get the sam
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import numpy as np
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, semi, unused
+
 #: Documents of a language that are learned from, in expectation, and slots of the filter: its size is 8 MB for every 64 languages.
 PER_LANGUAGE, SLOTS = 2000, 1 << 20
 SIZES, MIN_COUNT, RATIO = (3, 4), 3, 4
@@ -31,19 +34,41 @@ ENOUGH = 0.5
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 GAP = max(SIZES)
+#: Code points of a text that are looked at together.
+CHUNK = 1 << 18
 
 
+@functools.lru_cache(1)
 def letters() -> np.ndarray:
     """For each code point whether it is a letter."""
     return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x30000)] + [False] * (0x110000 - 0x30000))
 
 
-def points(texts: list[str | None], letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of all texts, anything but letters as 0, with a gap before each text; starts of the texts' parts."""
-    raw = ["\0" * GAP + (t or "").lower() for t in texts]
-    sizes = np.array([len(r) for r in raw])
-    flat = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(letter[flat], flat, 0), np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(raw) else np.zeros(0, int)
+def groups(texts: list[str | None], letter: np.ndarray):
+    """All texts in groups of about CHUNK code points: (owners, starts, flat, inside) of each.
+
+    flat holds lower-cased code points, anything but letters as 0, of parts of texts, each with a gap before the text and behind it; owners
+    and starts tell a part's text and place. A long text has parts that overlap, and inside tells of each place whether windows from there count.
+    """
+    held, size = [], 0
+
+    def group():
+        flat = np.frombuffer("".join([x for _, x in held]).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum([len(x) for _, x in held])
+        inside = np.ones(len(flat), bool)
+        inside[(ends[:, None] - np.arange(1, GAP)).ravel()] = False
+        return np.array([i for i, _ in held]), np.concatenate([[0], ends[:-1]]), np.where(letter[flat], flat, 0), inside
+
+    for i, t in enumerate(texts):
+        raw = "\0" * GAP + (t or "").lower() + "\0" * GAP
+        for at in range(0, len(raw) - GAP + 1, CHUNK):
+            held.append((i, raw[at : at + CHUNK + GAP - 1]))
+            size += len(held[-1][1])
+            if size >= CHUNK:
+                yield group()
+                held, size = [], 0
+    if held:
+        yield group()
 
 
 def grams(flat: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,19 +102,19 @@ class Model:
         """(language, score, support): support is the language's corrected count as a share of the text's n-grams."""
         if not texts:
             return []
-        flat, starts = points(texts, letter)
-        counts, total = np.zeros((len(self.languages), len(texts))), np.zeros(len(texts))
-        some = np.add.reduceat(flat > 0, starts) > 0
-        for size in SIZES:
-            h, real = grams(flat, size)
-            # a gap stands before each text, so a window that starts in one text's part ends in it or in the next gap
-            at = np.minimum(starts, max(len(h) - 1, 0))
-            total += np.add.reduceat(real, at)
-            one, two = slots(h, len(self.tables[0]) if self.tables else 1)
-            for i, table in enumerate(self.tables):
-                mask = np.where(real, table[one] & table[two], np.uint64(0))
-                for j in range(min(64, len(self.languages) - 64 * i)):
-                    counts[64 * i + j] += np.add.reduceat((mask >> np.uint64(j)) & np.uint64(1), at)
+        counts, total, some = np.zeros((len(self.languages), len(texts))), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for owners, starts, flat, inside in groups(texts, letter):
+            np.logical_or.at(some, owners, np.add.reduceat(flat > 0, starts) > 0)
+            for size in SIZES:
+                h, real = grams(flat, size)
+                real &= inside[: len(h)]
+                at = np.minimum(starts, max(len(h) - 1, 0))
+                np.add.at(total, owners, np.add.reduceat(real, at, dtype=np.int64))
+                one, two = slots(h, len(self.tables[0]) if self.tables else 1)
+                for i, table in enumerate(self.tables):
+                    mask = np.where(real, table[one] & table[two], np.uint64(0))
+                    for j in range(min(64, len(self.languages) - 64 * i)):
+                        np.add.at(counts[64 * i + j], owners, np.add.reduceat((mask >> np.uint64(j)) & np.uint64(1), at).astype(float))
         if not self.languages:
             return [("und", 0.0, 0.0)] * len(texts)
         right = np.maximum(0, (counts - total * self.false[:, None]) / (1 - self.false[:, None]))
@@ -119,11 +144,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             langs, texts = np.array(b.column(0).to_pylist()), b.column(1).to_pylist()
             for i in np.unique(langs).tolist():
-                flat, _ = points([t for t, k in zip(texts, langs, strict=True) if k == i], letter)
-                for size in SIZES:
-                    h, real = grams(flat, size)
-                    found, n = np.unique(h[real], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(np.full(len(found), size)), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "size", "gram", "n"])
+                for _, _, flat, inside in groups([t for t, k in zip(texts, langs, strict=True) if k == i], letter):
+                    for size in SIZES:
+                        h, real = grams(flat, size)
+                        found, n = np.unique(h[real & inside[: len(h)]], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(np.full(len(found), size)), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "size", "gram", "n"])
 
     counts = sample.mapInArrow(count, "lang long, size long, gram long, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
     totals = sample.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
@@ -139,32 +164,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(languages, tables)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(the carried columns, or the id; lang_pred, score; with carry also the support) for every row; nothing is shuffled."""
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, lang_pred, score, support) for every row; nothing is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables))  # 8 * SLOTS bytes for every 64 languages
 
     def run(batches):
         letter, own = letters(), Model(*held.value)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                c = b.slice(at, 256)
-                texts, found, part, size = c.column(0).to_pylist(), [], [], 0
-                for t in texts:
-                    part.append(t)
-                    size += len(t or "")
-                    if size > 1 << 20:
-                        found += own.judged(part, letter)
-                        part, size = [], 0
-                found += own.judged(part, letter)
-                yield pa.RecordBatch.from_arrays([*c.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], names=[*c.schema.names[1:], "__lang", "__score", "__support"])
-
-    columns = carry or [id_col]
+            for at in range(0, b.num_rows, 64):
+                c = b.slice(at, 64)
+                found = own.judged(c.column(0).to_pylist(), letter)
+                yield pa.RecordBatch.from_arrays([*c.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], names=["id", "lang_pred", "score", "support"])
+
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    taken = docs.select(F.col(text_col).alias("__text"), *columns)
-    schema = StructType([taken.schema[c] for c in columns]).add("__lang", StringType()).add("__score", DoubleType()).add("__support", DoubleType())
-    out = taken.mapInArrow(run, schema)
-    return out.select(*columns, F.col("__lang").alias("lang_pred"), F.col("__score").alias("score")) if not carry else out
+    taken = docs.select(F.col(text_col).alias("text"), F.col(key).alias("id"))
+    schema = StructType().add("id", taken.schema["id"].dataType).add("lang_pred", StringType()).add("score", DoubleType()).add("support", DoubleType())
+    return taken.mapInArrow(run, schema).withColumnRenamed("id", key)
 
 
 def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -180,9 +196,14 @@ def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     share = min(1.0, PER_LANGUAGE * len(model.languages) / max(1, labelled.count()))
     sample = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20))
-    usual = predict(sample, model, id_col, text_col, [id_col]).where("__lang <> 'und'").groupBy("__lang").agg(F.percentile_approx("__support", 0.5).alias("m")).collect()  # a row a language
-    least = F.create_map(*[x for r in usual for x in (F.lit(r["__lang"]), F.lit(ENOUGH * r["m"]))]) if usual else F.create_map(F.lit(""), F.lit(0.0))
-    return predict(docs, model, id_col, text_col, docs.columns).where((F.col("__support") > 0) & (F.col("__support") >= F.coalesce(least[F.col("__lang")], F.lit(0.0)))).select(*docs.columns)
+    usual = predict(sample, model, id_col, text_col).where("lang_pred <> 'und'").groupBy("lang_pred").agg(F.percentile_approx("support", 0.5).alias("m")).collect()  # a row a language
+    least = F.create_map(*[x for r in usual for x in (F.lit(r["lang_pred"]), F.lit(ENOUGH * r["m"]))]) if usual else F.create_map(F.lit(""), F.lit(0.0))
+    # rows are told apart by a hash of id and text: Python gets no other column, and texts are shuffled only if very many rows go
+    made = unused(docs)
+    marked = docs.withColumn(made, F.xxhash64(F.col(id_col), F.col(text_col)))
+    enough = (F.col("support") > 0) & (F.col("support") >= F.coalesce(least[F.col("lang_pred")], F.lit(0.0)))
+    gone = cut(predict(marked, model, made, text_col).where(~enough).select(made).distinct())
+    return semi(marked, gone, made, "left_anti").select(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id"):

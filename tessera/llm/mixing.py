@@ -1,8 +1,8 @@
 """Mixing sources to target weights under a time-varying curriculum, with DataFrame functions only.
 
 Every source has a weight and a schedule: its share of the weight at training time t in [0, 1] is w * (1 + a * (2t - 1)), which
-integrates to w. The corpus' words are shared out by weight; a source stops at ``most`` times its words and what is
-over is shared out again. A source's documents stand in the order of the MD5 of their ids; whole rounds are taken
+integrates to w; the shares of all sources need not sum to 1 at every t, so equal steps of t may hold unequal numbers of words. The corpus' words are shared out by weight; a source stops at ``most`` times its words and what is
+over is shared out again. A source's documents stand in the order of the MD5 of id and text; whole rounds are taken
 while they fit and a last part round stops at the document boundary nearest to the target. The running count of words that a source has given,
 as a share of its demand, inverted through the integrated schedule, is a copy's training position; documents are
 range-sorted by their first.
@@ -10,7 +10,7 @@ range-sorted by their first.
 The running count is a two-level sum: per source and one of 4096 ranges of the hash, then inside each range. No window holds a whole source.
 
 Defined cases: a null text has size 0 and is never taken; the null source counts as a source, sorted last; a null id
-hashes as the empty text; repeated rows are separate documents; columns of the input keep their values
+counts as no id, so its text alone decides the order; repeated rows are separate documents, whose rows stand in one range; columns of the input keep their values
 whatever their names (the operator's own come as one struct); an empty table gives an empty result. A corpus
 without words has targets of 0. Sources are assumed to be few enough for one sort (a row each).
 """
@@ -52,14 +52,15 @@ def when(u: Column, a: Column) -> Column:
     return F.when(a == 0, u).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / (2 * a))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, light: bool = False, **how) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, light: bool = False, ordered: bool = True, **how) -> DataFrame:
     """(doc struct of the columns ``keep``, mix struct of size, source_size, target, copies, taken, position, positions), sorted by position.
 
+    ordered: otherwise the rows come in any order.
     light: rows without their texts are few bytes, so they are written once instead of being computed twice.
     """
     # the row before the new names, so that columns of the input may be called anything
     row = F.struct(*[F.col(c) for c in (keep or docs.columns)]).alias("doc")
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    order = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.col(text_col))))
     rows = docs.select(row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), order.alias("order"), F.size(words(F.col(text_col))).cast("long").alias("size")).withColumn("part", F.substring("order", 1, DIGITS)).withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     if light:
         rows = cut(rows)
@@ -75,12 +76,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     share = lambda c: F.least(F.lit(1.0), (c * F.col("s") + F.col("at")).cast("double") / F.col("target"))
     times = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: when(share(c), F.col("slope"))))
     out = counted.withColumn("positions", times)
-    return out.select("doc", F.struct("size", F.col("s").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.get("positions", F.lit(0)).alias("position"), "positions").alias("mix"), "order").orderBy(F.col("mix.position").asc_nulls_last(), "order").drop("order")
+    out = out.select("doc", F.struct("size", F.col("s").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.get("positions", F.lit(0)).alias("position"), "positions").alias("mix"), "order")
+    return (out.orderBy(F.col("mix.position").asc_nulls_last(), "order") if ordered else out).drop("order")
 
 
 def curriculum(docs: DataFrame, **how) -> DataFrame:
     """The training sequence: every copy that the mix takes, with all columns of docs, range-sorted by position."""
-    copies = mix(docs, **how).where("mix.copies > 0").select("doc", F.explode("mix.positions").alias("at"))
+    copies = mix(docs, ordered=False, **how).where("mix.copies > 0").select("doc", F.explode("mix.positions").alias("at"))
     names = [f for f in copies.schema["doc"].dataType.names]
     return copies.repartitionByRange("at", F.col("doc").getField(how.get("id_col", "doc_id"))).sortWithinPartitions("at").select(*[F.col("doc").getField(c).alias(c) for c in names])
 
@@ -88,7 +90,7 @@ def curriculum(docs: DataFrame, **how) -> DataFrame:
 def sql(source: str = "documents") -> str:
     """DuckDB SQL of mix(): (doc_id, size, source_size, target, copies, taken, position)."""
     case = lambda v: f"case (rank % {len(v)}) " + " ".join(f"when {i} then {x}" for i, x in enumerate(v)) + " end"
-    return f"""with d as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) as size, md5(coalesce(cast(doc_id as varchar), '')) as k from {source}),
+    return f"""with d as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) as size, md5(concat_ws('|', cast(doc_id as varchar), md5(text))) as k from {source}),
 s1 as (select source, cast(sum(size) as bigint) as s, row_number() over (order by source nulls last) - 1 as rank from d group by source),
 s2 as (select *, {case(WEIGHTS)} as weight, cast({case(SLOPES)} as double) as slope from s1),
 s3 as (select *, cast(sum(s) over () - coalesce(sum({MOST} * s) over (order by cast({MOST} * s as double) / weight, rank rows between unbounded preceding and 1 preceding), 0) as double)

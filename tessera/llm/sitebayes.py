@@ -9,7 +9,7 @@ The classifier learns from at most about LABELLED labelled rows, drawn by a hash
 all documents, combined before each shuffle, and a prior of a row a path.
 
 Defined cases: null or empty texts have no evidence, a quality of 0 and aren't kept; null hosts and paths are sites of their own;
-null labels teach nothing; without labels of both classes the evidence is 0; texts are read whole; repeated rows are separate documents;
+null labels teach nothing; a repeated label counts once, by majority, and a repeated id teaches with one row; without labels of both classes the evidence is 0; texts are read whole; repeated rows are separate documents;
 further columns are ignored; an empty table gives an empty result.
 """
 
@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import cut
 from .quality import measures
 
@@ -85,10 +86,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # equality of keys, nulls among them, is that of these strings
     seen = cut(features(docs, id_col, text_col, F.coalesce(F.concat(F.lit("="), host), F.lit("")), F.coalesce(F.concat(F.lit("="), path), F.lit(""))))
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
+    given = given.groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     total = given.count()
     drawn = given.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < min(1.0, LABELLED / max(1, total)) * (1 << 20))
     names = [f"f_{k}" for k in FEATURES]
-    rows = np.array([tuple(r) for r in seen.where("n_words > 0").join(drawn, "id").select(*names, "y").collect()], float).reshape(-1, len(names) + 1)
+    taught = seen.where("n_words > 0").join(drawn, "id").groupBy("id").agg(F.min(F.struct(*names, "y")).alias("x"))  # a row an id, however often it is repeated
+    rows = np.array([tuple(r) for r in taught.select("x.*").collect()], float).reshape(-1, len(names) + 1)
     w, b, share = learn(rows[:, :-1], rows[:, -1])
     logit = " + ".join([f"({float(b)!r}D)", f"({float(-np.log(share / (1 - share)))!r}D)", *[f"({float(x)!r}D) * {n}" for x, n in zip(w, names, strict=True)]])
     scored = seen.withColumn("evidence", F.when(F.col("n_words") > 0, F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.expr(logit)))).otherwise(-CLIP)).drop(*names)
@@ -101,7 +104,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     hosts = hosts.withColumn("host_rate", (F.col("good") + by_host * rate) / (F.col("n") + by_host)).drop("n", "good")
     paths = cut(paths.join(hosts, "host"))
     by_path = strength(paths, "host_rate")
-    out = scored.join(paths, ["host", "path"])
+    # few keys hold very many rows: broadcast the sites if they are counted and few; else skewed partitions of the join are split
+    out = scored.join(F.broadcast(paths) if paths.count() <= common.BROADCAST else paths, ["host", "path"])
     own = F.expr(f"(good - p + {by_path!r}D * host_rate) / (n - 1 + {by_path!r}D)")
     out = out.withColumn("path_rate", F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), own)))
     out = out.withColumn("quality", F.when(F.col("n_words") > 0, F.expr("1 / (1 + exp(-(evidence + ln(path_rate / (1 - path_rate)))))")).otherwise(0.0))

@@ -26,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, cut, scratch
+from .bpe import TAIL, bytes_to_chars
+from .common import Recent, cut, remove, scratch
 
 MAGIC = b"TSRVB001"
 #: Bytes of a block at most, except for a longer document's own, and entries of a lookup cache.
-BLOCK, CACHE = 8 << 20, 600_000
+BLOCK, CACHE = 8 << 20, 250_000
 #: Lengths of the four ranks of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
@@ -92,8 +93,9 @@ def read_blocks(f):
 class Encoder:
     """The ids, as little-endian uint32, of texts under a tokenizer that drops white space and merges nothing across it.
 
-    What stands between spaces or line ends is encoded alone and looked up when it recurs. Of a Latin word with a capital, or with a full
-    stop or comma behind a letter, the parts are looked up: the tokenizer folds case and splits there (which is probed first).
+    What stands between spaces or line ends is encoded alone and looked up when it recurs. The tokenizer folds case and splits punctuation off
+    (which is probed first), so of a Latin word with a capital or with marks behind it the parts are looked up, and plain
+    letters go to the merges as the characters that stand for their bytes.
     """
 
     def __init__(self, path: str):
@@ -104,23 +106,24 @@ class Encoder:
         self.tok.no_padding()
         self.known = Recent(self.unit, CACHE)
         self.model = self.tok.model
-        self.plain = all(self.library(a) == b for a, b in (("Ab, É c.", self.library("ab") + self.library(",") + self.library("é") + self.library("c") + self.library(".")), ("thing", self.merged("thing")), ("éñ", self.merged("éñ"))))
+        self.chars = bytes_to_chars()
+        # the tokenizer splits, folds and maps bytes as the short way assumes
+        self.plain = all(self.library(x) == self.merged(x) for x in ("thing", "éñß", "œuvre")) and self.library("Ab, É c!?") == b"".join(map(self.library, ("ab", ",", "é", "c", "!?"))) and all(self.library("x" + y) == self.library("x") + self.library(y) for y in (*TAIL, TAIL))
 
     def library(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def merged(self, word: str) -> bytes:
         """The ids of a word of lower-case letters, which the tokenizer neither changes nor splits: the library's merges alone."""
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.chars))]).tobytes()
 
     def unit(self, unit: str) -> bytes:
-        if self.plain and unit and max(unit) < "\u0250" and "<" not in unit and "'" not in unit:  # Latin letters, no special token or contraction
-            if unit[-1] in ",." and unit[-2:-1].isalpha():
-                return self.known[unit[:-1]] + self.known[unit[-1]]
-            if unit != (low := unit.lower()):
-                return self.known[low]
+        if self.plain and unit and max(unit) < "\u0250" and "\u0130" not in unit:  # Latin letters that have one letter in lower case
+            word = unit.rstrip(TAIL)
+            if word != unit and word.isalpha():
+                return self.known[word] + self.known[unit[len(word) :]]
             if unit.isalpha():
-                return self.merged(unit)
+                return self.merged(unit) if (low := unit.lower()) == unit else self.known[low]
         return self.library(unit)
 
     def encode(self, text: str | None) -> bytes:
@@ -134,18 +137,31 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, ids) with the ids, the end id among them, as little-endian integers of 16 bits where all ids fit, else of 32."""
-    wide = width(tokenizer_path, end_id)
+    """(key, ids, seen, times): ids, the end id among them, as little-endian integers of 16 bits where all ids fit, else of 32.
+
+    The last row of each task has no ids but those seen in it, as 32 bits, and how often, as 64.
+    """
+    wide, vocabulary = width(tokenizer_path, end_id), ids_below(tokenizer_path, end_id)
+    names = ["key", "ids", "seen", "times"]
 
     def run(batches):
-        own, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        own, end, total = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), np.zeros(vocabulary, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 c = b.slice(at, 512)
-                ids = [np.frombuffer(own.encode(t) + end, "<u4").astype(wide).tobytes() for t in c.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], names=["key", "ids"])
+                ids = []
+                for t in c.column(1):
+                    x = np.frombuffer(own.encode(t.as_py()) + end, "<u4")
+                    total += np.bincount(x, minlength=vocabulary) if len(x) > vocabulary else 0
+                    ids.append(x.astype(wide).tobytes())
+                small = b"".join([x for x in ids if len(x) <= vocabulary * np.dtype(wide).itemsize])
+                total += np.bincount(np.frombuffer(small, wide), minlength=vocabulary)
+                none = pa.nulls(len(ids), pa.binary())
+                yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), none, none], names=names)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([total[at].astype("<i8").tobytes()], pa.binary())], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, "key long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, "key long, ids binary, seen binary, times binary")
 
 
 def ids_below(tokenizer_path: str, end_id: int) -> int:
@@ -163,17 +179,19 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id
     spark, vocabulary, kind = docs.sparkSession, ids_below(tokenizer_path, end_id), width(tokenizer_path, end_id)
     encoded = f"{folder}/encoded"
     tokenise(docs, tokenizer_path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(encoded)
-    ids = spark.read.parquet(encoded)
+    both = spark.read.schema("key long, ids binary, seen binary, times binary").parquet(encoded)
+    ids = both.where("seen is null").select("key", "ids")
 
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=vocabulary)
+            for seen, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                total[np.frombuffer(seen, "<u4")] += np.frombuffer(times, "<i8")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
     # one row for each id of the vocabulary at most
-    counted = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = both.where("seen is not null").select("seen", "times").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by_rank = np.array([r["id"] for r in sorted(counted, key=lambda r: (-r["n"], r["id"]))], "<u4")
     write_whole(f"{folder}/ranks.bin", [by_rank.tobytes()])
     rank = np.zeros(vocabulary, np.uint32)
@@ -229,7 +247,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id
             n = write_whole(path := f"{folder}/shard-{shard:06d}.tvb", blocks())
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [tally[0]], "n_ids": [tally[1]], "n_bytes": [n]}, schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-    return cut(placed.drop("tie").mapInArrow(store, "shard long, path string, n_docs long, n_ids long, n_bytes long"))
+    made = cut(placed.drop("tie").mapInArrow(store, "shard long, path string, n_docs long, n_ids long, n_bytes long"))
+    remove(spark, encoded)
+    return made
 
 
 def scan(manifest: DataFrame, with_ids: bool = False) -> DataFrame:

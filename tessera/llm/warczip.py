@@ -2,7 +2,9 @@
 
 A package is a ZIP file with stored members: ``archive/data.warc.gz``, each record a gzip member of its own, and
 ``indexes/index.jsonl`` with a line (page, offset, length) for each record. The reader parses the end record, the ZIP64 records and the central
-directory, locates the stored members, reads the index and then only the ranges it names; nothing is extracted.
+directory, locates the stored members, reads the indexes and then only the ranges they name; nothing is extracted. It takes any members below
+``archive/`` and ``indexes/``: lines of JSON or CDXJ, packed or not, several archives told apart by ``filename``; an archive that no index names
+is read record by record.
 
 Of records with equal payloads of REVISIT bytes or more, that with the largest id is a response and the others revisit it,
 without their payload; smaller ones are responses.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -27,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import cut, scratch
 from .tokenfile import filesystem
 
@@ -159,17 +163,88 @@ class Directory:
         return place + self.shift + 30 + n_name + n_extra, packed
 
 
+def index_lines(raw: bytes, name: str):
+    """The JSON object of each line of an index: lines of JSON, or of CDXJ, where it stands behind a key and a time; packed if the name ends in .gz."""
+    if name.endswith(".gz"):
+        raw = gzip.decompress(raw)
+    for line in raw.decode("utf-8").splitlines():
+        if (at := line.find("{")) >= 0:
+            yield json.loads(line[at:])
+
+
+def unpacked(raw: bytes) -> bytes:
+    return zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
+
+
+def walk(read, place: int, size: int, step: int = 1 << 20):
+    """The raw records of an archive member without an index, one gzip member or plain record after another."""
+    left, at, end = b"", place, place + size
+
+    def more() -> bytes:
+        nonlocal at
+        got = read(at, min(step, end - at))
+        at += len(got)
+        return got
+
+    while left or at < end:
+        left = left or more()
+        if left[:1] == b"\x1f":
+            part, out = zlib.decompressobj(31), []
+            while not part.eof:
+                if not (left := left or more()):
+                    raise ValueError("an archive ends within a record")
+                out.append(part.decompress(left))
+                left = part.unused_data
+            yield b"".join(out)
+            continue
+        while (cut := left.find(b"\r\n\r\n")) < 0 and (got := more()):
+            left += got
+        found = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", left[:cut])
+        if cut < 0 or not found:
+            if left.strip():
+                raise ValueError("an archive ends within a record")
+            return
+        whole = cut + 4 + int(found[1]) + 4
+        while len(left) < whole and (got := more()):
+            left += got
+        yield left[:whole]
+        left = left[whole:]
+
+
 def records(path: str):
-    """(page, record) for each record that a package's index names."""
+    """(page, record) for each record that a package's indexes name; of archives that none names, all records in their order.
+
+    page is the index's, else that of the record's own id.
+    """
     store, at = filesystem(path)
     with store.open_input_file(at) as f:
         read = lambda offset, size: f.read_at(size, offset)
         zip_ = Directory(read, f.size())
-        place, size = zip_.locate(INDEX)
-        base, _ = zip_.locate(DATA)
-        for line in read(place, size).decode().splitlines():
-            x = json.loads(line)
-            yield x["page"], parse(zlib.decompress(read(base + x["offset"], x["length"]), 31))
+        archives = [m for m in zip_.members if m.startswith("archive/") and m != "archive/"]
+        base, named = {m: zip_.locate(m) for m in archives}, set()
+
+        def page_of(x: dict, r: dict):
+            return x["page"] if "page" in x else number(r.get("warc-record-id"))
+
+        for index in (m for m in zip_.members if m.startswith("indexes/") and m != "indexes/"):
+            for x in index_lines(read(*zip_.locate(index)), index):
+                if "offset" not in x:
+                    continue
+                archive = f"archive/{x['filename'].rpartition('/')[2]}" if x.get("filename") else archives[0]
+                named.add(archive)
+                r = parse(unpacked(read(base[archive][0] + int(x["offset"]), int(x["length"]))))
+                yield page_of(x, r), r
+        for archive in archives:
+            if archive not in named:
+                for raw in walk(read, *base[archive]):
+                    r = parse(raw)
+                    yield page_of({}, r), r
+
+
+def number(urn: str | None):
+    """The page of a name that record() gave, else None."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    return int(found[1]) if found else None
 
 
 # -- the operator ------------------------------------------------------------------------------------------------
@@ -178,7 +253,13 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     text = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), text.alias("html"), F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).alias("n"))
     again = rows.where(F.col("n") >= REVISIT).groupBy("digest").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("same")).where("same > 1").drop("same")
-    typed = rows.join(cut(again), "digest", "left").select("page", "url", "html", "digest", F.when((F.col("n") >= REVISIT) & ~F.col("page").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
+    again = cut(again)
+    if again.count() <= common.BROADCAST:
+        joined = rows.join(F.broadcast(again), "digest", "left")
+    else:  # pages too small to repeat are dealt out by their own ids
+        key = F.when(F.col("n") >= REVISIT, F.col("digest")).otherwise(F.concat_ws("-", F.lit(""), "page", "digest"))
+        joined = rows.withColumn("key", key).join(again.withColumnRenamed("digest", "key"), "key", "left")
+    typed = joined.select("page", "url", "html", "digest", F.when((F.col("n") >= REVISIT) & ~F.col("page").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
 
     def run(batches):
         part, package, made = TaskContext.get().partitionId(), None, []
@@ -208,9 +289,6 @@ def scan(packages: DataFrame) -> DataFrame:
     A response's digest and length are computed from the payload that was read, and must be those of its header.
     """
 
-    def page_of(urn: str | None):
-        return int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn else None
-
     def run(batches):
         for b in batches:
             for path in b.column(0).to_pylist():
@@ -219,7 +297,7 @@ def scan(packages: DataFrame) -> DataFrame:
                     digest, n = r["warc-payload-digest"].removeprefix("sha1:"), int(r["x-payload-length"])
                     if r["warc-type"] == "response" and (hashlib.sha1(r["payload"]).hexdigest(), len(r["payload"])) != (digest, n):
                         raise ValueError(f"{path}: the payload of page {page} isn't what its header says")
-                    rows.append((page, n, digest, r["warc-type"], page_of(r.get("warc-refers-to"))))
+                    rows.append((page, n, digest, r["warc-type"], number(r.get("warc-refers-to"))))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 

@@ -13,7 +13,7 @@ ODD = ["", " ", "  ", "a  b", "a   b ", "x\n  y", "x\n y", "tab\t end ", "it's '
 
 @pytest.fixture(scope="module")
 def tools():
-    return Tokenizer.from_file(PATH), bpe.TreeBPE(PATH, long=40, leaf=8)
+    return Tokenizer.from_file(PATH), bpe.TreeBPE(PATH, long=40, leaf=8, units=4)
 
 
 def want(tok, t):
@@ -28,7 +28,7 @@ def test_odd_texts(tools):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         assert own.encode(t) == ids, t
         assert own.decode(ids) == tok.decode(ids, skip_special_tokens=False)
-    assert own.digests([*ODD, None]) == [want(tok, t) for t in [*ODD, None]]
+    assert own.plain and [own.digest(t) for t in [*ODD, None]] == [want(tok, t) for t in [*ODD, None]]
 
 
 def test_long_unsplit(tools):
@@ -46,7 +46,27 @@ def test_random_texts(tools):
     tok, own = tools
     rng = random.Random(2)
     texts = ["".join(rng.choice("aeth ns  \n\t.'éß1$") for _ in range(rng.randrange(120))) for _ in range(1500)]
-    assert own.digests(texts) == [want(tok, t) for t in texts]
+    texts += [" ".join("".join(rng.choice("abÉñtheß") for _ in range(rng.randrange(1, 60))) + rng.choice(["", "", ".", ",", "!?", "'s", "'", "…", "9", bpe.TAIL]) for _ in range(rng.randrange(1, 40))) for _ in range(800)]
+    assert [own.digest(t) for t in texts] == [want(tok, t) for t in texts]
+
+
+def test_joins_on_the_tables(tools):
+    """Texts of the table are cut into halves and joined; the library says the same of each."""
+    import pyarrow.parquet as pq
+
+    own = bpe.TreeBPE(PATH)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    assert [own.digest(t) for t in texts] == [want(tools[0], t) for t in texts]
+    assert own.joins > len(texts)
+
+
+def test_windows_grow(tools):
+    """A wrong unit at a join is found and replaced."""
+    _, own = tools
+    units = [" one", " two", " three", " four", " five", " six"]
+    right = [own.unit(u) for u in units]
+    wrong = [*right[:2], (1, ",5", b"x"), (1, ",6", b"y"), *right[4:]]
+    assert "".join(x[1] for x in own.joined(units, wrong)) == "".join(x[1] for x in right)
 
 
 def test_query(spark):

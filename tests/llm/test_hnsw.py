@@ -37,7 +37,8 @@ def test_graph_recall():
     x = clusters(3000, 1)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     g = hnsw.Graph(x)
-    width = hnsw.search(g, x[::20], 0.9)
+    width, recall = hnsw.search(g, np.arange(0, len(x), 20), 0.9)
+    assert width and recall >= hnsw.RECALL
     q, node = g.within(x, 0.9, width)
     truth = (x @ x.T) >= 0.9
     found = np.zeros_like(truth)
@@ -45,6 +46,31 @@ def test_graph_recall():
     assert (found & truth).sum() >= 0.99 * truth.sum()
 
 
+def test_audit_binds():
+    """A graph without edges reaches no recall: the shard is to be searched exactly."""
+    x = clusters(300, 3)
+    g = hnsw.Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
+    for layer in g.layers:
+        layer[:] = -1
+    assert hnsw.search(g, np.arange(0, 300, 5), 0.9) == (0, 1.0)
+    q, node = g.exact(g.x, 0.9)
+    assert len(q) == ((g.x @ g.x.T) >= 0.9 - hnsw.NEAR).sum()
+
+
+def test_lengths_and_slices(spark, monkeypatch):
+    """Vectors of any length link among their own, whatever the slices."""
+    monkeypatch.setattr(hnsw, "PER_SLICE", 50)
+    x, y = clusters(300, 5, 8), clusters(150, 6, 5)
+    rows = [(i, v.tolist()) for i, v in enumerate([*x, *y])] + [(900, [1.0] * 3), (901, [2.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in hnsw.near_duplicates(df).collect()}
+    for z, base in ((x, 0), (y, 300)):
+        z = z.astype(float) / np.linalg.norm(z.astype(float), axis=1, keepdims=True)
+        want = ((z @ z.T) >= 0.9).sum(1) - 1
+        assert sum(got[base + i] for i in range(len(z))) >= 0.99 * want.sum() and all(got[base + i] <= n for i, n in enumerate(want))
+    assert got[900] == got[901] == 1
+
+
 def test_against_brute_force(spark):
     x = clusters(900, 2)
     rows = [(i * 2, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (5004, [1.0, None] * 8), (5005, [float("inf")] * 16), (5006, [1.0] * 3), (5007, x[0].tolist()), (5008, (x[0] * 2).tolist())]

@@ -69,6 +69,41 @@ def test_counts_by_hand():
             assert lang == "abc"[int(np.argmax(right))] and abs(score - max(right) / sum(right)) < 1e-9
 
 
+def test_pieces_of_long_texts(monkeypatch):
+    """A text's n-grams and prediction are the same however it is cut, and whatever stands beside it."""
+    letter, rng = langid.letters(), np.random.default_rng(1)
+    model = langid.Model(["a", "b"], [rng.integers(0, 4, 1 << 10, dtype=np.uint64)])
+    texts = ["".join(rng.choice(list("abc é1"), n)) for n in (0, 1, 2, 5, 16, 17, 18, 19, 33, 300)] + [None]
+    whole = model.judged(texts, letter)
+    assert whole == [model.judged([t], letter)[0] for t in texts]
+    for n in (5, 8, 16, 64):
+        monkeypatch.setattr(langid, "CHUNK", n)
+        assert model.judged(texts, letter) == whole
+
+
+def test_learned_tables(spark):
+    """The filters hold just the n-grams that a count by hand chooses."""
+    df, rows = frame(spark)
+    model = langid.fit(df, per_language=10**6, n_slots=1 << 14)
+    counts, chars = {}, {}
+    for _, t, k, _ in rows:
+        if k:
+            flat = [0] * 4 + [ord(c) if c.isalpha() else 0 for c in t.lower()] + [0] * 4
+            chars[k] = chars.get(k, 0) + len(t)
+            for size in langid.SIZES:
+                for i in range(len(flat) - size + 1):
+                    if flat[i + 1]:
+                        counts.setdefault(tuple(flat[i : i + size]), {}).setdefault(k, [0])[0] += 1
+    want = np.zeros(1 << 14, np.uint64)
+    for gram, by in counts.items():
+        rate = {k: n[0] / chars[k] for k, n in by.items() if n[0] >= langid.MIN_COUNT}
+        for k, r in rate.items():
+            if r * langid.RATIO >= max(rate.values()):
+                for s in langid.slots(langid.grams(np.array(gram, np.uint32), len(gram))[0], 1 << 14):
+                    want[s] |= np.uint64(1 << sorted(chars).index(k))
+    assert model.languages == sorted(chars) and (model.tables[0] == want).all()
+
+
 def test_nothing_to_learn(spark):
     df, _ = frame(spark)
     assert {r["lang_pred"] for r in langid.identify(df.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tessera.llm import linkgraph as lg
 
 
@@ -23,7 +25,7 @@ def brute(rows, rules=lg.RULES):
         out[i] = [h, p, r]
         if r:
             seeds[say[r]][h] = seeds[say[r]].get(h, 0) + 1
-        to = {parts("http:" + x if x.startswith("//") else x)[0] for x in re.findall(r"""<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)""", html or "", re.I | re.S) if x.startswith("//") or "://" in x}
+        to = {parts("http:" + x if x.startswith("//") else x)[0] for x in re.findall(r"""<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)""", html or "", re.I | re.S) if x.startswith("//") or re.match("[A-Za-z][A-Za-z0-9+.-]*://", x)}
         for t in to - {h, ""} if h else ():
             edges[h, t] = edges.get((h, t), 0) + 1
     rank = {}
@@ -55,7 +57,7 @@ def test_against_brute_force(spark):
     hosts = [f"{a}.example.{b}" for a in ("one", "two", "Three", "four") for b in ("com", "org", "net", "io")] + ["plain.net", "far.io"]
     for i in range(300):
         h = rng.choice(hosts)
-        href = " ".join(f"<A class=x HREF={q}{x}{q}>y</a>" for q, x in [(rng.choice(['"', "'", ""]), rng.choice(["/rel", "#a", f"http://{rng.choice(hosts)}/z", f"//{rng.choice(hosts)}/q", f"https://{h}/self"])) for _ in range(rng.randrange(4))])
+        href = " ".join(f"<A class=x HREF={q}{x}{q}>y</a>" for q, x in [(rng.choice(['"', "'", ""]), rng.choice(["/rel", "#a", f"http://{rng.choice(hosts)}/z", f"//{rng.choice(hosts)}/q", f"https://{h}/self", f"/go?u=https://{rng.choice(hosts)}/z"])) for _ in range(rng.randrange(4))])
         rows.append((i, f"http://{h}{rng.choice(['', '/', '/es/1', '/en/12', '/fr/3?x=http://q/', '/de/4#top', '?a=1', '#x'])}", href))
     rows += [(900, None, None), (901, "no scheme", ""), (902, "://", "x"), (903, "http://", "<a href="), (904, "ftp://EXAMPLE.ORG/en/1", None), (905, "http://org/x", ""), (906, "http://xorg/x", ""), (907, "http://a.com/fr/" + "p" * 50000, None), (908, "", "")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, trust string")
@@ -69,3 +71,23 @@ def test_no_links_ties_and_empty(spark):
     assert sorted(((r["page_id"], r["verdict"]) for r in lg.judge(df).collect()), key=str) == sorted([(1, "allow"), (1, "allow"), (None, "allow"), (2, "block"), (3, "block")], key=str)
     assert lg.judge(df.limit(0)).count() == 0
     assert [r["rule"] for r in lg.judge(df.limit(1), rules=(("com/f", "allow"), ("com/fr", "block"))).collect()] == ["com/fr"]
+    ties = (("b.com/", "allow"), ("com/ab", "block"), ("com/a", "block"))
+    for order in (ties, ties[::-1]):
+        assert [r["rule"] for r in lg.judge(spark.createDataFrame([(1, "http://b.com/abc", "")], "page_id long, url string, html string"), rules=order).collect()] == [max((r for r, _ in order), key=len)]
+
+
+def test_ranks_converge(spark):
+    """Hubs, hosts that link nowhere and a long cycle: ranks are those of a dense solution, also far from the seeds."""
+    rng, n = np.random.default_rng(0), 120
+    edges = {(i, (i + 1) % 60) for i in range(60)} | {(0, k) for k in range(60, 100)} | {(k, 3) for k in range(60, 80)} | {(int(a), int(b)) for a, b in rng.integers(100, n, (30, 2)) if a != b}
+    m = np.zeros((n, n))
+    for a, b in edges:
+        m[b, a] = 1 / sum(x == a for x, _ in edges)
+    start = np.zeros(n)
+    start[[5, 105]] = 0.75, 0.25
+    stuck = m.sum(0) == 0
+    # rank that has no link to follow, and what damping takes off, returns to the start
+    want = np.linalg.solve(np.eye(n) - lg.DAMPING * m - np.outer(start, 1 - lg.DAMPING * ~stuck) + np.outer(start, np.ones(n)), start)
+    rows = [("trust", str(a), str(b), float(m[b, a])) for a, b in edges]
+    got = {int(r["host"]): r["rank"] for r in lg.spread(spark.createDataFrame(rows, "kind string, src string, dst string, w double"), spark.createDataFrame([("trust", "5", 0.75), ("trust", "105", 0.25)], "kind string, host string, start double")).collect()}
+    assert abs(want.sum() - 1) < 1e-9 and all(abs(want[i] - r) < 1e-8 for i, r in got.items()) and got[4] > 0

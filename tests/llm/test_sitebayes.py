@@ -63,6 +63,17 @@ def test_against_numpy(spark):
         assert abs(q - got.loc[i, "quality"]) < 1e-4, i
 
 
+def test_repeated_labels(spark, monkeypatch):
+    """Labels and documents that are repeated teach once, and sites that are not broadcast give the same."""
+    docs, labels, _ = corpus(3, 120)
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, quality double")
+    given = spark.createDataFrame(labels, "doc_id long, quality int")
+    once = {r["doc_id"]: r["evidence"] for r in sitebayes.classify(df, given).collect()}
+    monkeypatch.setattr(sitebayes.common, "BROADCAST", 0)
+    again = sitebayes.classify(df.union(df.where("doc_id < 9")), given.union(given).union(given)).collect()
+    assert len(again) == len(docs) + 9 and all(abs(once[r["doc_id"]] - r["evidence"]) < 1e-5 for r in again)
+
+
 def test_no_labels(spark):
     docs, labels, _ = corpus(2, 30)
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, quality double")

@@ -38,9 +38,18 @@ def test_roundtrip(spark, tmp_path):
     assert ids[100] == [*Tokenizer.from_file(PATH).encode(texts[0], add_special_tokens=False).ids, 2]
 
 
+def test_short_way():
+    """Plain words go to the merges without the library's splitting, and get the library's ids."""
+    own, tok = tf.Encoder(PATH), Tokenizer.from_file(PATH)
+    assert own.plain
+    rng = np.random.default_rng(3)
+    for t in ["".join(rng.choice(list("abTHEéÑßœ İı9.,!'\"<|"), 30)) for _ in range(3000)] + [f"word{x}" for x in tf.TAIL]:
+        assert own.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 def test_ties_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (0, "z")], "doc_id long, text string")
     got = tf.roundtrip(df, PATH).collect()
-    assert sorted(r["start"] for r in got) [0] == 0 and sum(r["n_tokens"] for r in got) == 2 + 3 + 3 + 2
+    assert sorted(r["start"] for r in got)[0] == 0 and sum(r["n_tokens"] for r in got) == 2 + 3 + 3 + 2
     assert {r["doc_id"]: r["start"] for r in got}[0] == 0
     assert tf.roundtrip(df.limit(0), PATH).count() == 0

@@ -1,10 +1,12 @@
+import gzip
 import hashlib
 import io
+import json
 import zipfile
 
 import pytest
 
-from tessera.llm import warczip
+from tessera.llm import common, warczip
 
 
 def brute(rows):
@@ -23,7 +25,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_roundtrip(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [0, 400_000])
+def test_roundtrip(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST", broadcast)
     big, rows = "é" * 600, []
     for i in range(60):
         rows.append((i, f"http://h/{i}\n", [big, "small", f"page {i} " * 300, None, "", "x\r\n\r\ny" * 200][i % 6]))
@@ -67,3 +71,29 @@ def test_directory(monkeypatch, far, before):
         d.locate("packed")
     with pytest.raises(ValueError, match="not a ZIP"):
         warczip.Directory(lambda at, n: b"nothing"[at : at + n], 7)
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("index", ["none", "jsonl", "cdxj", "cdxj.gz"])
+def test_other_packages(tmp_path, packed, index, monkeypatch):
+    """Several archives and other indexes, or none."""
+    path, lines, want = tmp_path / "x.wacz", [], []
+    with zipfile.ZipFile(path, "w") as z:
+        for k in range(2):
+            body = b""
+            for i in range(k * 10, k * 10 + 4):
+                raw = warczip.record(i, "http://u/", f"payload {i}".encode() * 99, "d", None)
+                raw = gzip.compress(raw) if packed else raw
+                x = {"filename": f"part{k}.warc", "offset": len(body), "length": str(len(raw))}
+                lines.append(json.dumps(x | {"page": i}) if index == "jsonl" else f"u,http)/ 2000 {json.dumps(x)}")
+                body += raw
+                want.append((i, f"payload {i}".encode() * 99))
+            z.writestr(f"archive/part{k}.warc", body)
+        text = "\n".join(["!meta", *lines]).encode()
+        if index != "none":
+            z.writestr(f"indexes/index.{index}", gzip.compress(text) if index.endswith("gz") else text)
+        z.writestr("pages/pages.jsonl", "{}")
+    assert [(page, r["payload"]) for page, r in warczip.records(str(path))] == want
+    raw = b"".join(warczip.record(i, None, b"x" * i * 50, "d", None) for i in range(9))
+    for step in (7, 100, 10**6):
+        assert [len(warczip.parse(r)["payload"]) for r in warczip.walk(lambda at, n: raw[at : at + n], 0, len(raw), step)] == [i * 50 for i in range(9)]
