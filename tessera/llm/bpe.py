@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import Recent
 
 #: Characters from which an unsplit piece is encoded as a tree, and of its leaves; units of a text's leaves; entries of a lookup cache.
-LONG, LEAF, UNITS, CACHE = 256, 128, 128, 150_000
+LONG, LEAF, UNITS, CACHE = 256, 128, 128, 300_000
 #: What the tokenizer never splits from a word before it, or does so behind the word: ASCII punctuation but the apostrophe and the signs of special tokens.
 TAIL = ".,;:!?)]}\"%&*#$"
 
@@ -64,7 +64,7 @@ class TreeBPE:
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
             self.token_text[i] = token
             self.token_bytes[i] = token.encode() if token in self.specials or any(c not in back for c in token) else bytes(back[c] for c in token)
-        self.units = Recent(self.unit, CACHE)
+        self.units, self.marks = Recent(self.unit, CACHE), {}
         # merges alone give a word of letters, as long as the tokenizer splits and maps as it is probed here
         self.plain = all(self.library(x) == self.word(x) for x in (" thing", "thing", " Éñß", " Thing")) and all(self.library(x + y) == self.library(x) + self.library(y) for x in (" thing", "é") for y in (*TAIL, "!!", ".,", TAIL))
 
@@ -141,20 +141,24 @@ class TreeBPE:
         """Whether each space that is followed by something starts a piece, so what lies between can be encoded alone."""
         return "  " not in text and not text.endswith(" ") and not self.mark.search(text)
 
-    def ids(self, unit: str) -> list[int]:
-        if self.plain and unit and max(unit) < "\u0250":  # Latin letters
-            word = unit.rstrip(TAIL)
-            if (word[1:] if word[:1] == " " else word).isalpha():
-                if len(word) > self.long:
-                    return self.tree(word.encode().decode("latin-1").translate(self.chars)) + (self.library(unit[len(word) :]) if word != unit else [])
-                return self.word(word) + (self.library(unit[len(word) :]) if word != unit else [])
-        return self.encode(unit) if len(unit) > self.long else self.library(unit)
-
-    def unit(self, unit: str) -> tuple[int, str, bytes]:
+    def held(self, ids: list[int]) -> tuple[int, str, bytes]:
         """Number of ids, the ids with a comma before each, and their bytes."""
-        ids = self.ids(unit)
         return len(ids), "," + ",".join(map(str, ids)) if ids else "", b"".join(map(self.token_bytes.__getitem__, ids))
 
+    def unit(self, unit: str) -> tuple[int, str, bytes]:
+        """held() of a unit's ids; of a word with marks behind it, the parts are looked up."""
+        if self.plain and max(unit) < "\u0250":  # Latin letters
+            word = unit.rstrip(TAIL)
+            if word != unit and word[-1:].isalpha():
+                mark = unit[len(word) :]
+                if mark not in self.marks and len(self.marks) < CACHE:
+                    self.marks[mark] = self.held(self.library(mark))
+                one, two = self.units[word], self.marks.get(mark) or self.held(self.library(mark))
+                return one[0] + two[0], one[1] + two[1], one[2] + two[2]
+            if (unit[1:] if unit[0] == " " else unit).isalpha():
+                return self.held(self.word(unit) if len(unit) <= self.long else self.tree(unit.encode().decode("latin-1").translate(self.chars)))
+        return self.held(self.encode(unit) if len(unit) > self.long else self.library(unit))
+
     def joined(self, units: list[str], found: list[tuple]) -> list[tuple]:
         """found, the units' encodings, after windows around the joins of the tree's leaves have been encoded again."""
         for cut in self.halves(len(units), self.size):

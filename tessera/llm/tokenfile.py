@@ -31,7 +31,7 @@ from .common import Recent, cut, remove, scratch
 
 MAGIC = b"TSRVB001"
 #: Bytes of a block at most, except for a longer document's own, and entries of a lookup cache.
-BLOCK, CACHE = 8 << 20, 250_000
+BLOCK, CACHE = 8 << 20, 500_000
 #: Lengths of the four ranks of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
