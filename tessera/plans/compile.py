@@ -491,6 +491,11 @@ class Compiler:
         if len(set(titles)) < len(titles):
             raise PlanError("two outputs have the same name")
         order_columns = [Expressions(self.graph, scope, flags).of(e)[0].alias(f"__order{n}") for n, e in enumerate(outside)]
+        if not out.order and not grouping and not out.distinct and (out.skip is not None or out.limit is not None):
+            # where no order is asked for, rows go by the ids of the nodes that they bind, in the pattern's order
+            for var in scope.nodes:
+                order_by.append((f"__order{len(order_columns)}", False))
+                order_columns.append(F.col(slot(var)).alias(order_by[-1][0]))
         rows = rows.select(*chosen, *order_columns)
         if out.distinct:
             rows = rows.dropDuplicates()
@@ -499,7 +504,7 @@ class Compiler:
             rows = self.filtered(rows, after, out.where)
         q = lambda c: f"`{c}`"
         if out.order or out.skip is not None or out.limit is not None:
-            # ties, and all order where none is asked for, go by the whole output row
+            # ties go by the whole output row, and so do groups and distinct rows where no order is asked for
             keys = []
             for target, down in order_by:
                 for c in [target] if isinstance(target, str) else columns[target]:
@@ -596,7 +601,8 @@ class Compiler:
         else:
             bound = {n.var for n in query.pattern.nodes if n.var}
             rows = patterns.match(self.graph, query.pattern, reads)
-            scope = Scope({v: reads.get(v, set()) | {"id"} for v in bound})
+            order = dict.fromkeys(n.var for n in query.pattern.nodes if n.var in bound)
+            scope = Scope({v: reads.get(v, set()) | {"id"} for v in order})
         if query.where is not None:
             rows = self.filtered(rows, scope, query.where)
         for s in query.stages:

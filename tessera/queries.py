@@ -71,6 +71,9 @@ cypher("q_distinct", "MATCH (o:Order)-[:calls]->(p:Part) RETURN DISTINCT o.signa
 cypher("q_union", "MATCH (p:Part) RETURN p.signature AS x UNION MATCH (c:Customer) RETURN c.signature AS y UNION MATCH (p:Part) RETURN p.signature AS z", "select signature as x from nodes where kind in ('part', 'customer') group by signature", "nodes")
 cypher("q_union_all", "MATCH (n:Nation) RETURN n.name AS x UNION ALL MATCH (r:Region) RETURN r.name AS y UNION ALL MATCH (n:Nation) RETURN n.name AS z", "select name as x from nodes where kind in ('nation', 'region') union all select name from nodes where kind = 'nation'", "nodes")
 cypher("q_skip_limit", "MATCH (c:Customer) WHERE c.exported RETURN c.id AS id, c.name AS name ORDER BY c.name DESC SKIP 17 LIMIT 25", "select id, name from nodes where kind = 'customer' and exported order by name desc, id offset 17 limit 25", "nodes")
+cypher("q_limit_no_order", "MATCH (o:Order)-[:calls]->(p:Part {exported: true}) RETURN p.name AS name, o.signature AS priority SKIP 3 LIMIT 40", "select name, priority from (select distinct src, dst, p.name, o.signature as priority from edges join nodes o on o.id = src and o.kind = 'order' join nodes p on p.id = dst and p.kind = 'part' and p.exported where rel = 'calls') order by src, dst offset 3 limit 40")
+cypher("q_limit_groups", "MATCH (o:Order)-[:calls]->(p:Part) RETURN p.signature AS kind, count(*) AS n LIMIT 2", "select p.signature as kind, count(*) as n from (select distinct src, dst from edges where rel = 'calls') join nodes o on o.id = src and o.kind = 'order' join nodes p on p.id = dst and p.kind = 'part' group by p.signature order by 1 nulls first, 2 limit 2")
+cypher("q_funcs_trim", "MATCH (n:Nation) RETURN n.id AS id, ltrim('  ' + n.name + ' ') AS a, rtrim('  ' + n.name + ' ') AS b, toBoolean('TRUE') AS c, toBoolean(n.name) AS d", "select id, name || ' ' as a, '  ' || name as b, true as c, null::boolean as d from nodes where kind = 'nation'", "nodes")
 cypher("q_empty_agg", "MATCH (x:Route) RETURN sum(x.id) AS s, count(*) AS n", "select 0::bigint as s, 0::bigint as n where false", "nodes")
 cypher("q_degree_props", "MATCH (x:Part|Customer) WHERE x.in_degree >= 5 RETURN x.id AS id, x.in_degree AS i, x.out_degree AS o", "select id, i, coalesce(o, 0) as o from nodes join (select dst, count(*) as i from edges group by dst) on dst = id left join (select src, count(*) as o from edges group by src) on src = id where kind in ('part', 'customer') and i >= 5")
 cypher("q_count_star", "MATCH (o:Order)-[:calls]->(p) RETURN count(*)", 'select count(*) as "count" from (select distinct src, dst from edges where rel = \'calls\')', "edges")
@@ -86,6 +89,26 @@ def g_callers(spark, sf_dir):
     return neighbors.related(g, "callers", g.nodes.where("kind = 'part' and name like 'red%'"))
 
 
+@register("g_by_pattern", sql("select id, name from nodes where regexp_matches(name, '^(red|blue) .*[gt]$')", "nodes"))
+def g_by_pattern(spark, sf_dir):
+    return neighbors.by_pattern(tables.graph(spark, sf_dir), "^(red|blue) .*[gt]$").select("id", "name")
+
+
+def relation(verb: str, rel: str, there: str, here: str) -> None:
+    """A verb over all nodes, and its SQL."""
+    oracle = sql(f"select {here} as target, {there} as id, max(confidence) as confidence, case when max(confidence) >= 100 then 'exact' when max(confidence) >= 85 then 'constrained' else 'heuristic' end as grade from edges where rel = '{rel}' group by all", "edges")
+
+    @register(f"g_{verb}", oracle)
+    def query(spark, sf_dir):
+        g = tables.graph(spark, sf_dir)
+        return neighbors.related(g, verb, g.nodes)
+
+
+relation("refs", "references", "src", "dst")
+relation("importers", "imports", "src", "dst")
+relation("typeusers", "of_type", "src", "dst")
+
+
 @register("g_callees", sql(f"select src as target, dst as id, confidence, {GRADE} from edges join nodes o on o.id = src and o.signature = '1-URGENT' and o.kind = 'order' where rel = 'calls'", "nodes", "edges"))
 def g_callees(spark, sf_dir):
     g = tables.graph(spark, sf_dir)
@@ -390,9 +413,9 @@ def s_bm25(spark, sf_dir):
     return search.bm25(docs, "the and").select("id", F.round("score", 6).alias("score"))
 
 
-@register("s_postings", f"select token, count(*) as df, sum(tf)::bigint as n from (select doc_id, token, least(count(*), 255) as tf from (select item_id as doc_id, unnest({TOKENS.format('text')}) as token from benchmark) group by all) group by token")
+@register("s_postings", f"select token, count(*) as df, sum(tf)::bigint as n from (select doc_id, token, least(count(*), 255) as tf from (select doc_id, unnest({TOKENS.format('text')}) as token from documents) group by all) group by token")
 def s_postings(spark, sf_dir):
-    p = search.postings(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    p = search.postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return p.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
 
 
@@ -455,12 +478,12 @@ def s_ndcg(spark, sf_dir):
     return search.metrics(results, grades)
 
 
-@register("s_ppmi", f"""with t as (select item_id as id, {TOKENS.format('text')} as t from benchmark), u as (select id, unnest(t) as w, generate_subscripts(t, 1) as i from t), f as (select w from u group by w having count(*) >= 5),
+@register("s_ppmi", f"""with t as (select doc_id as id, {TOKENS.format('text')} as t from documents), u as (select id, unnest(t) as w, generate_subscripts(t, 1) as i from t), f as (select w from u group by w having count(*) >= 5),
 p as (select x.w as a, y.w as b from u x join u y on x.id = y.id and y.i - x.i between 1 and 2), n as (select a, b, count(*) as n from (select a, b from p union all select b, a from p) where a in (from f) and b in (from f) group by all),
 r as (select a, sum(n) as na from n group by a), c as (select b, sum(n) ** 0.75 as nb from n group by b)
 select a, b, ppmi from (select a, b, round(ln((n / (select sum(n) from n)) / ((na / (select sum(n) from n)) * (nb / (select sum(nb) from c)))), 6) as ppmi from n join r using (a) join c using (b)) where ppmi > 0""")
 def s_ppmi(spark, sf_dir):
-    docs = table(spark, sf_dir, "benchmark").select(tokens(F.col("text")).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select(tokens(F.col("text")).alias("tokens"))
     return search.ppmi(search.cooccurrences(docs))
 
 
@@ -477,12 +500,14 @@ def s_lexical_embed(spark, sf_dir):
 
 
 # -- text ----------------------------------------------------------------------------------------------------------
-@register("t_trigram_candidates", "select path as file_id from (select 'd/' || source || '/' || lang || '/' || doc_id as path, text from documents) where contains(text, 'rig') and contains(text, 'igh') and contains(text, 'ght')")
+# of "right": rig with a byte behind it that is h modulo 8, igh with one that is t, and ght
+BYTES = "regexp_matches(hex(encode(text)), '^(?:..)*{}')"
+
+
+@register("t_trigram_candidates", "select 'd/' || source || '/' || lang || '/' || doc_id as file_id from documents where " + " and ".join(BYTES.format(x) for x in ("726967.[08]", "696768.[4C]", "676874")))
 def t_trigram_candidates(spark, sf_dir):
-    """Files of which the index can't say that they lack the word; with the next-byte masks checked against whole texts in the tests."""
-    files = tables.files(spark, sf_dir).select(F.col("path").alias("file_id"), "text")
-    index = textsearch.trigrams(files).select("file_id", "tri", F.lit(255).alias("mask"))
-    return textsearch.candidates(index, "right")
+    """Files of which the index, with its masks of next bytes, can't say that they lack the word."""
+    return textsearch.candidates(textsearch.trigrams(tables.files(spark, sf_dir).select(F.col("path").alias("file_id"), "text")), "right")
 
 
 LINES = "l as (select path, lang, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as line from files) "
