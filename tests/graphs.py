@@ -1,9 +1,9 @@
-"""A small graph of six definitions."""
+"""A small graph of a bakery's code."""
 
 from tessera.catalog import Graph
 
-NODES = [(0, "function", "main", "src/main.rs", "fn main()", True, "h0"), (1, "function", "parse", "src/parse.rs", "fn parse()", True, "h1"), (2, "function", "validate", "src/parse.rs", "fn validate()", False, "h2"), (3, "function", "deserialize", "src/serde.rs", None, True, "h3"), (4, "method", "helper", "src/util.rs", "fn helper()", False, "h4"), (5, "class", "Config", "src/config.rs", "", True, "h5")]
-EDGES = [(0, 1, "calls", 100), (1, 2, "calls", 95), (2, 3, "calls", 85), (4, 3, "calls", 100), (0, 1, "data_flows", 85)]
+NODES = [(20, "function", "bake", "app/oven.py", "def bake(t)", True, "h0"), (21, "function", "knead", "app/dough.py", "def knead()", False, "h1"), (22, "function", "weigh", "app/dough.py", None, True, "h2"), (23, "function", "order", "app/shop.py", "def order()", True, "h3"), (24, "method", "deliver", "app/shop.py", "def deliver(self)", False, "h4"), (25, "class", "Oven", "app/oven.py", "", True, "h5"), (26, "function", "wash", "lib/sink.py", "def wash()", False, "h6")]
+EDGES = [(23, 20, "calls", 90), (23, 22, "calls", 60), (20, 21, "calls", 100), (21, 22, "calls", 100), (24, 22, "calls", 85), (22, 26, "calls", 95), (20, 25, "data_flows", 100)]
 
 
 def golden(spark):

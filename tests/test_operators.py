@@ -26,46 +26,46 @@ def rows(df):
 
 # -- graph ---------------------------------------------------------------------------------------------------------
 def test_reach(spark, g):
-    seeds = spark.createDataFrame([(0,)], "id bigint")
+    seeds = spark.createDataFrame([(20,)], "id bigint")
     got = {r["id"]: (r["depth"], r["via"], r["grade"]) for r in reach.reach(g, seeds, max_depth=0).collect()}
-    assert got == {1: (1, 0, "exact"), 2: (2, 1, "constrained"), 3: (3, 2, "constrained")}
-    assert {r["id"] for r in reach.reach(g, seeds, "both", max_depth=0).collect()} == {1, 2, 3, 4}
-    assert {r["id"] for r in reach.reach(g, seeds, min_confidence=90, max_depth=0).collect()} == {1, 2}
+    assert got == {21: (1, 20, "exact"), 22: (2, 21, "exact"), 26: (3, 22, "constrained")}
+    assert {r["id"] for r in reach.reach(g, seeds, "both", max_depth=0).collect()} == {21, 22, 23, 24, 26}
+    assert {r["id"] for r in reach.reach(g, seeds, min_confidence=98, max_depth=0).collect()} == {21, 22}
     assert reach.reach(g, seeds.limit(0), max_depth=3).count() == 0
 
 
 def test_related_and_envelopes(spark, g):
-    assert rows(neighbors.related(g, "callers", spark.createDataFrame([(3,)], "id bigint"))) == [(3, 2, 85, "constrained"), (3, 4, 100, "exact")]
+    assert rows(neighbors.related(g, "callers", spark.createDataFrame([(22,)], "id bigint"))) == [(22, 21, 100, "exact"), (22, 23, 60, "heuristic"), (22, 24, 85, "constrained")]
     assert neighbors.lookup(g, "callers", name="nobody")["status"] == "no-match"
-    assert neighbors.lookup(g, "callers", path="parse.rs")["status"] == "ambiguous"
-    assert neighbors.lookup(g, "callers", path="parse.rs", every=True)["status"] == "hits"
+    assert neighbors.lookup(g, "callers", path="dough.py")["status"] == "ambiguous"
+    assert neighbors.lookup(g, "callers", path="dough.py", every=True)["status"] == "hits"
     assert neighbors.select(g).count() == 0
     p = neighbors.page(g.nodes, ["id"], limit=4, cursor="o:1")
-    assert (p["total"], p["truncated"], p["nextCursor"], [r["id"] for r in p["rows"].collect()]) == (6, True, "o:5", [1, 2, 3, 4])
+    assert (p["total"], p["truncated"], p["nextCursor"], [r["id"] for r in p["rows"].collect()]) == (7, True, "o:5", [21, 22, 23, 24])
     with pytest.raises(ValueError, match="cursor"):
         neighbors.page(g.nodes, ["id"], cursor="x")
     assert neighbors.toon(g.nodes.select("id", "name").limit(1)).startswith("rows[1]{id,name}:")
 
 
 def test_reports(spark, g):
-    assert {r["name"] for r in verbs.dead(g).collect()} == {"main", "Config", "helper"}
-    assert {r["name"]: r["status"] for r in verbs.dead(g.with_tables(evidence=spark.createDataFrame([("main",)], "name string"))).collect()}["main"] == "mentioned"
-    later = g.with_tables(nodes=g.nodes.where("id <> 5").withColumn("content_hash", F.when(F.col("id") == 1, "new").otherwise(F.col("content_hash"))))
-    assert rows(verbs.diff_nodes(g, later).select("name", "change")) == [("Config", "removed"), ("parse", "modified")]
-    shown, hidden = reach.scoped(g.nodes.select("id"), g, Scope(within=("src",), exclude=("src/util.rs",), kinds=("function", "method")))
-    assert shown.count() == 4 and hidden.first()[0] == 2
-    assert [r["name"] for r in verbs.entries(g).collect()] == ["main"]
+    assert {r["name"] for r in verbs.dead(g).collect()} == {"order", "Oven", "deliver"}
+    assert {r["name"]: r["status"] for r in verbs.dead(g.with_tables(evidence=spark.createDataFrame([("order",)], "name string"))).collect()}["order"] == "mentioned"
+    later = g.with_tables(nodes=g.nodes.where("id <> 25").withColumn("content_hash", F.when(F.col("id") == 21, "new").otherwise(F.col("content_hash"))))
+    assert rows(verbs.diff_nodes(g, later).select("name", "change")) == [("Oven", "removed"), ("knead", "modified")]
+    shown, hidden = reach.scoped(g.nodes.select("id"), g, Scope(within=("app",), exclude=("app/shop.py",), kinds=("function", "method")))
+    assert shown.count() == 3 and hidden.first()[0] == 4
+    assert [r["name"] for r in verbs.entries(g).collect()] == ["order"]
 
 
 def test_snippets_and_call_sites(spark, g):
-    text = "fn a() {\n  parse();\n  parse();\n}\n"
-    files = spark.createDataFrame([("src/main.rs", text, "rust", len(text), 0, 0, None)], "path string, text string, lang string, size bigint, error_nodes int, error_bytes bigint, digest string")
-    ev = spark.createDataFrame([(0, 1, "calls", 21), (0, 1, "calls", 11)], "src bigint, dst bigint, rel string, span_start int")
+    text = "fn a() {\n  knead();\n  knead();\n}\n"
+    files = spark.createDataFrame([("app/oven.py", text, "python", len(text), 0, 0, None)], "path string, text string, lang string, size bigint, error_nodes int, error_bytes bigint, digest string")
+    ev = spark.createDataFrame([(20, 21, "calls", 21), (20, 21, "calls", 11)], "src bigint, dst bigint, rel string, span_start int")
     spanned = g.nodes.withColumn("span_start", F.lit(11)).withColumn("span_end", F.lit(18))
     full = g.with_tables(nodes=spanned, files=files, evidence=ev)
-    hit = neighbors.call_sites(full, spark.createDataFrame([(0, 1)], "holder bigint, callee bigint")).first()
-    assert (hit["line"], hit["code"]) == (2, "parse();")
-    s = verbs.snippets(full, spark.createDataFrame([(0,)], "id bigint"), context=1).first()
+    hit = neighbors.call_sites(full, spark.createDataFrame([(20, 21)], "holder bigint, callee bigint")).first()
+    assert (hit["line"], hit["code"]) == (2, "knead();")
+    s = verbs.snippets(full, spark.createDataFrame([(20,)], "id bigint"), context=1).first()
     assert (s["first_line"], s["last_line"], s["state"]) == (1, 3, "unverified") and s["code"].startswith("fn a()")
 
 
@@ -126,13 +126,13 @@ def test_imports_and_closure(spark):
 
 # -- search --------------------------------------------------------------------------------------------------------
 def test_search(spark, g):
-    usage = spark.createDataFrame([(1, 5)], "id bigint, in_degree bigint")
-    bodies = spark.createDataFrame([(0, "uses magic words"), (2, "magic magic words")], "id bigint, text string")
+    usage = spark.createDataFrame([(21, 5)], "id bigint, in_degree bigint")
+    bodies = spark.createDataFrame([(20, "uses magic words"), (22, "magic magic words")], "id bigint, text string")
     s = search.Searcher(g.nodes, usage, bodies)
-    assert [r["id"] for r in s.search("parse", 3).collect()][0] == 1
-    assert [r["id"] for r in s.search("magic words").collect()] == [2, 0]
-    assert [r["id"] for r in s.search('"fn" AND "validate"').collect()] == [2]
-    assert s.search("parse", 5, search.Filter(kinds=("class",))).count() == 0
+    assert [r["id"] for r in s.search("knead", 3).collect()][0] == 21
+    assert [r["id"] for r in s.search("magic words").collect()] == [22, 20]
+    assert [r["id"] for r in s.search('"def" AND "wash"').collect()] == [26]
+    assert s.search("knead", 5, search.Filter(kinds=("class",))).count() == 0
     assert search.conjunction('"a" OR "b"') == [] and search.query_tokens("parseHTTPServer2Go x_y") == ["parse", "httpserver2", "go", "x", "y"]
 
 
@@ -271,8 +271,8 @@ def test_view_equals_scratch(spark, tmp_path):
 def test_generations(spark, g, tmp_path):
     store = stores.Generations(spark, str(tmp_path))
     assert store.current() is None
-    assert store.publish(g) == 0 and store.publish(g.with_tables(nodes=g.nodes.where("id < 3"))) == 1
-    assert store.open().nodes.count() == 3 and store.open(0).nodes.count() == 6 and store.open().evidence is None
+    assert store.publish(g) == 0 and store.publish(g.with_tables(nodes=g.nodes.where("id < 23"))) == 1
+    assert store.open().nodes.count() == 3 and store.open(0).nodes.count() == 7 and store.open().evidence is None
 
 
 def test_files(spark, tmp_path):
