@@ -15,13 +15,17 @@ SHOWN = 200
 # -- trigrams ------------------------------------------------------------------------------------------------------
 def trigrams(files: DataFrame) -> DataFrame:
     """(file_id, tri, mask) of texts (file_id, text): distinct runs of three bytes, with a bit for each residue modulo 8 of a byte that follows."""
-    hexed = files.select("file_id", F.hex(F.encode("text", "utf-8")).alias("h"))
-    number = lambda i, n: F.conv(F.substr("h", 2 * i - 1, F.lit(2 * n)), 16, 10).cast("int")
-    n = (F.length("h") / 2).cast("int")
-    each = hexed.where(F.length("h") >= 6).select("file_id", "h", n.alias("n"), F.explode(F.sequence(F.lit(1), n - 2)).alias("i"))
-    follows = F.when(F.col("i") + 3 <= F.col("n"), F.shiftleft(F.lit(1), 0)).otherwise(0)
-    bit = F.when(follows == 1, F.expr("shiftleft(1, cast(conv(substr(h, 2 * i + 5, 2), 16, 10) as int) % 8)")).otherwise(0)
-    return each.select("file_id", number(F.col("i"), 3).alias("tri"), bit.alias("bit")).groupBy("file_id", "tri").agg(F.bit_or("bit").alias("mask"))
+    # bytes stand in an array: a place in a long string is found only by walking to it
+    pairs = F.expr("regexp_extract_all(hex(encode(text, 'utf-8')), '..', 0)")
+    held = F.transform(F.array(F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))), lambda b: F.transform(
+        F.slice(b, F.lit(1), F.greatest(F.size(b) - 2, F.lit(0))),
+        lambda x, i: F.struct(
+            (x * 65536 + F.get(b, i + 1) * 256 + F.get(b, i + 2)).alias("tri"),
+            F.coalesce(F.call_function("shiftleft", F.lit(1), F.get(b, i + 3) % 8), F.lit(0)).alias("bit"),
+        ),
+    ))
+    each = files.select("file_id", F.explode(held[0]).alias("x"))
+    return each.groupBy("file_id", F.col("x.tri").alias("tri")).agg(F.bit_or("x.bit").alias("mask"))
 
 
 def plan(literals: list[str]) -> dict[int, int] | None:
