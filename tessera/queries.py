@@ -268,6 +268,107 @@ def g_label_propagation(spark, sf_dir):
     return communities.label_propagation(rings(spark, sf_dir))
 
 
+# -- verbs that read side tables, on graphs whose side tables are derived from the bundled ones --------------------------
+def with_flows(spark, sf_dir) -> Graph:
+    """Each order's flow to the customer's next one, as an argument."""
+    g = tables.graph(spark, sf_dir)
+    rows = g.edges.where("rel = 'data_flows'").select("src", "dst", F.lit(0).alias("arg_index"), F.lit(0).alias("param_index"), F.lit("var").alias("class"), F.lit("x").alias("expr"))
+    return g.with_tables(dataflow=rows)
+
+
+@register("g_flows", sql("select e.src, e.dst, a.name as from_name, b.name as to_name, 0 as arg_index from edges e join nodes a on a.id = e.src join nodes b on b.id = e.dst where e.rel = 'data_flows' and a.path like 'o/P/%'", "nodes", "edges"))
+def g_flows(spark, sf_dir):
+    g = with_flows(spark, sf_dir)
+    return verbs.flows(g, g.nodes.where("path like 'o/P/%'")).select("src", "dst", "from_name", "to_name", "arg_index")
+
+
+WHY = "(select l_orderkey as o, l_partkey as p, l_linenumber % 2 = 1 as known, p_name as name from lineitem join part on l_partkey = p_partkey)"
+
+
+@register("g_why", f"""with ev as {WHY}, asked as (select min(o) as o, min_by(name, o * 10 + p * 0.000000001) as name from ev)
+select ev.o as src, case when known then p end as dst, ev.name, count(*) as n from ev join asked on ev.o = asked.o
+where (known and p in (select p_partkey from part where p_name = asked.name)) or (not known and ev.name = asked.name) group by all""")
+def g_why(spark, sf_dir):
+    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    rows = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    first = rows.orderBy("l_orderkey", "l_partkey").select("l_orderkey", "p_name").first()
+    order, name = first if first else (None, None)
+    ev = rows.select(F.col("l_orderkey").alias("src"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_partkey")).alias("dst"), F.col("p_name").alias("name"))
+    nodes = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return verbs.why(Graph(nodes, ev.limit(0), evidence=ev), order, name=name).groupBy("src", "dst", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_spans(spark, sf_dir) -> Graph:
+    """Documents whose span is the middle third of their text; a digest of three is absent, and one of three out of date."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string"))
+    nodes = docs.select(F.col("doc_id").alias("id"), path.alias("path"), third.alias("span_start"), (2 * third).alias("span_end"))
+    digest = F.when(F.col("doc_id") % 3 == 1, F.sha2("text", 256)).when(F.col("doc_id") % 3 == 2, F.lit("old"))
+    evidence = docs.select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit("calls").alias("rel"), third.alias("span_start"))
+    return Graph(nodes, evidence.select("src", "dst", "rel"), evidence=evidence, files=docs.select(path.alias("path"), "text", digest.alias("digest")))
+
+
+SPANS = "d as (select doc_id as id, coalesce(text, '') as text, length(coalesce(text, '')) // 3 as a from documents), "
+LINE = "length(left(text, ({0})::bigint)) - length(replace(left(text, ({0})::bigint), chr(10), '')) + 1"
+
+
+@register("g_call_sites", f"with {SPANS}l as (select *, {LINE.format('a')} as line from d) select id as holder, id + 1 as callee, 'd/' || id as path, line, trim(string_split(text, chr(10))[line], ' ') as code from l")
+def g_call_sites(spark, sf_dir):
+    g = with_spans(spark, sf_dir)
+    return neighbors.call_sites(g, g.edges.select(F.col("src").alias("holder"), F.col("dst").alias("callee")))
+
+
+@register("g_snippets", f"""with {SPANS}l as (select *, greatest(1, {LINE.format('a')} - 1) as x, least(len(string_split(text, chr(10))), {LINE.format('greatest(a, 2 * a - 1)')} + 1) as y from d)
+select id, x as first_line, y as last_line, left(array_to_string(list_slice(string_split(text, chr(10)), x, y), chr(10)), 65536) as code, case id % 3 when 0 then 'unverified' when 1 then 'verified' else 'stale' end as state from l""")
+def g_snippets(spark, sf_dir):
+    g = with_spans(spark, sf_dir)
+    return verbs.snippets(g, g.nodes, context=1)
+
+
+@register("g_page", sql("select id, name from nodes where kind = 'part' order by name, id limit 100 offset 50", "nodes"))
+def g_page(spark, sf_dir):
+    rows = tables.graph(spark, sf_dir).nodes.where("kind = 'part'").select("id", "name")
+    return neighbors.page(rows, ["name", "id"], limit=100, cursor="o:50")["rows"]
+
+
+@register("d_bind_imports", """with s as (select c_custkey as id, 'c' || c_custkey % 40 as symbol, c_nationkey as nation from customer), i as (select s_suppkey as ref, s_nationkey as nation, 'c' || s_suppkey % 40 as symbol, case when s_suppkey % 2 = 0 then 'other' end as alias from supplier)
+select 'm/x' || ref as from_path, coalesce(alias, i.symbol) as local, min(id) as id from i join s on s.nation = i.nation and s.symbol = i.symbol group by all having count(distinct id) = 1""")
+def d_bind_imports(spark, sf_dir):
+    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("m/"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("path"))
+    name = lambda key: F.concat(F.lit("c"), (F.col(key) % 40).cast("string"))
+    symbols = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name("c_custkey").alias("name"), F.concat(F.lit("m/"), F.col("c_nationkey").cast("string"), F.lit(".py")).alias("path"))
+    alias = F.when(F.col("s_suppkey") % 2 == 0, F.lit("other"))
+    imports = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ref_id"), F.concat(F.lit("m/x"), F.col("s_suppkey").cast("string")).alias("from_path"), F.col("s_nationkey").cast("string").alias("name"), name("s_suppkey").alias("symbol"), alias.alias("alias"))
+    return derive.bind_imports(imports, symbols, files)
+
+
+FOLDER = "coalesce(regexp_extract({}, '^(.*/)?[^/]*$', 1), '')"
+
+
+@register("d_private_visibility", sql(f"select e.src, e.dst, e.rel, starts_with(s.path, {FOLDER.format('d.path')}) as subtree, {FOLDER.format('s.path')} = {FOLDER.format('d.path')} as beside from edges e join nodes s on s.id = e.src join nodes d on d.id = e.dst where e.rel in ('defines', 'of_type', 'data_flows')", "nodes", "edges"))
+def d_private_visibility(spark, sf_dir):
+    g = tables.graph(spark, sf_dir)
+    at = lambda end: g.nodes.select(F.col("id").alias(end), F.col("path").alias(f"{end}_path"))
+    rows = g.edges.where("rel in ('defines', 'of_type', 'data_flows')").join(at("src"), "src").join(at("dst"), "dst")
+    see = lambda rule: derive.privately_visible(F.col("dst_path"), F.col("src_path"), rule)
+    return rows.select("src", "dst", "rel", see("subtree").alias("subtree"), see("directory").alias("beside"))
+
+
+@register("d_include_closure", sql("with s as (select src, dst from edges where rel = 'defines') select src, dst from s union select a.src, b.dst from s a join s b on a.dst = b.src", "edges"))
+def d_include_closure(spark, sf_dir):
+    return derive.include_closure(tables.graph(spark, sf_dir).edges.where("rel = 'defines'"))
+
+
+@register("g_reach_set", sql("with walk(id) as (select id from nodes where kind = 'region' union select dst from walk join edges on src = walk.id and rel = 'defines') select id from walk where id not in (select id from nodes where kind = 'region')", "nodes", "edges"))
+def g_reach_set(spark, sf_dir):
+    g = tables.graph(spark, sf_dir)
+    return reach.reach(g, g.nodes.where("kind = 'region'"), relations=("defines",), max_depth=0).select("id")
+
+
+cypher("q_to_boolean", "MATCH (p:Part) RETURN p.id AS id, toBoolean(CASE WHEN p.exported THEN 'TRUE' ELSE left(p.name, 3) END) AS b", "select id, case when exported then true end as b from nodes where kind = 'part'", "nodes")
+
+
 # -- derivations ---------------------------------------------------------------------------------------------------
 TOP8 = "select distinct a, b, {s} from (select a, b, {s}, row_number() over (partition by x order by {s} desc, y) as r from (select a as x, b as y, a, b, {s} from p union all select b, a, a, b, {s} from p)) where r <= 8"
 
