@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Graph
+from . import stores
 
 #: A node's id is the base of its kind and its key.
 BASE = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "order": 6, "document": 7, "page": 8}
@@ -94,7 +95,20 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+#: Folders of stored graphs by the folder of their tables, as store() left them in this process.
+STORED: dict[str, str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write the graph of the tables once; graph() reads it from then on. Tables that change afterwards need another store()."""
+    STORED.pop(sf_dir, None)
+    stores.save(graph(spark, sf_dir), folder)
+    STORED[sf_dir] = folder
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    if sf_dir in STORED:
+        return stores.load(spark, STORED[sf_dir])
     return Graph(nodes(spark, sf_dir), edges(spark, sf_dir), observed=observed(spark, sf_dir), files=files(spark, sf_dir))
 
 

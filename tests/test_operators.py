@@ -1,3 +1,4 @@
+import os
 import random
 from pathlib import Path
 
@@ -5,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import schema
 from tessera.catalog import Graph
 from tessera.operators import communities, derive, neighbors, reach, search, structural, textsearch, verbs
 from tessera.operators.reach import Scope
 from tessera.queries import QUERIES, pages
-from tessera.sources import stores
+from tessera.sources import stores, tables
 from tessera.streaming import maintain
 
 from .graphs import golden
@@ -282,3 +284,20 @@ def test_files(spark, tmp_path):
     assert (got["path"], got["text"], got["lang"], got["size"]) == ("a/x.py", "é = 1\n", "python", 7)
     Path(tmp_path / "log").write_text("commit c2\na\nb\n\ncommit c1\na\n")
     assert {(r["commit_id"], r["path"]) for r in stores.commits(spark, str(tmp_path / "log")).collect()} == {("c2", "a"), ("c2", "b"), ("c1", "a")}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the bundled tables")
+def test_a_stored_graph_answers_alike(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "STORED", {})
+    ask = "MATCH (o:Order)-[:calls]->(p:Part) RETURN p.name AS name, count(*) AS n"
+    read = lambda: sorted(map(tuple, tables.graph(spark, "/root/testdata/sf0.001").query(ask).collect()))
+    derived = read()
+    tables.store(spark, "/root/testdata/sf0.001", f"{tmp_path}/g")
+    assert tables.STORED and read() == derived
+
+
+def test_an_empty_graph_is_stored(spark, tmp_path):
+    empty = Graph(spark.createDataFrame([], schema.NODES), spark.createDataFrame([], schema.EDGES))
+    stores.save(empty, f"{tmp_path}/g")
+    got = stores.load(spark, f"{tmp_path}/g")
+    assert got.nodes.count() == got.edges.count() == 0 and got.edges.columns == empty.edges.columns
