@@ -5,7 +5,9 @@ shard's graph: greedily through the upper layers, with a beam on the lowest. A q
 partners than the beam is wide, so it is compared with all of the shard: no number of partners is a limit. In each shard a sample of queries is
 audited against all of the shard's vectors, without themselves, over all partners and for each probe; while recall is short, the beam is doubled. A
 shard on which no beam reaches it is compared vector by vector. Pairs are kept after their cosine is computed in double precision, and linked vectors are
-united by connected components. A graph is built by one task and read by the tasks of all slices of the queries.
+united by connected components. A graph is built by one task and stored in the shared folder with its vectors; a task for each graph and slice of the
+queries reads both from there, so no graph goes through a shuffle. A shard is bounded in bytes, and pairs are looked at a block at a time, so
+a task's memory depends neither on the table nor on how many partners a vector has.
 
 Cosines are those of the vectors as stored, widened to double: equal direction at another length links too. n_links counts what a vector's own
 query found.
@@ -24,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, remove, scratch
+from .tokenfile import filesystem, write_whole
 
 #: Shards at least; neighbours of a node (twice as many on the lowest layer); beam while building; least beam of a query.
 SHARDS, DEGREE, BUILD, BEAM = 6, 12, 48, 32
 #: Audited queries of a shard, recall to reach, and how far below the least cosine a full beam still asks for the whole shard.
 AUDITED, RECALL, SLACK = 256, 0.99, 0.02
 #: Queries that walk a graph side by side at most, bytes of their marks of seen nodes, nodes inserted together, vectors of a shard and of a slice of queries, cosines at once.
-LOCKSTEP, MARKS, BATCH, PER_SHARD, PER_SLICE, BLOCK = 2048, 32 << 20, 512, 200_000, 16_384, 1 << 22
+LOCKSTEP, MARKS, BATCH, PER_SHARD, PER_SLICE, BLOCK = 2048, 32 << 20, 512, 200_000, 16_384, 1 << 20
+#: Bytes of a shard's vectors in double precision.
+SHARD_BYTES = 48 << 20
 
 
 #: Cosines in single precision are off by less.
@@ -53,7 +58,7 @@ class Graph:
         self.tops = tops
         done = min(1, n)
         while done < n:
-            some = np.arange(done, min(n, done + max(1, min(BATCH, done // 4))))
+            some = np.arange(done, min(n, done + max(1, min(BATCH, done // 4, MARKS // n))))
             self.insert(some, build)
             done = some[-1] + 1
 
@@ -150,28 +155,52 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         return ids[rows[:, None], order], sims[rows[:, None], order]
 
+    def step(self, width: int) -> int:
+        """How many queries go side by side with a beam of this width."""
+        n = max(1, len(self.x))
+        return max(1, min(LOCKSTEP, MARKS // n, BLOCK // 4 // max(1, min(width, n))))
+
+    def pieces(self, q: np.ndarray, least: float, width: int):
+        """(queries, nodes, cosines) of cosine ``least`` or more in single precision, by query, as far as a beam of this width finds them; width 0: all.
+
+        All of a query stands in one piece.
+        """
+        if not len(self.x) or not len(q):
+            return
+        if not width:
+            yield from self.blocks(q, least)
+            return
+        for at in range(0, len(q), step := self.step(width)):
+            own = q[at : at + step]
+            near = np.zeros((len(own), 1), np.int64)
+            for k in range(len(self.layers) - 1, 0, -1):
+                near = self.beam(own, near[:, :1], k, 1)[0]
+            ids, sims = self.beam(own, near, 0, min(width, len(self.x)))
+            full = (ids[:, -1] >= 0) & (sims[:, -1] >= least - SLACK)
+            r, c = np.nonzero((ids >= 0) & (sims >= least - NEAR) & ~full[:, None])
+            known, first = np.unique(r * len(self.x) + ids[r, c], return_index=True)
+            yield at + known // len(self.x), known % len(self.x), sims[r, c][first]
+            rows = np.flatnonzero(full)
+            for r, c, s in self.blocks(own[rows], least):
+                yield at + rows[r], c, s
+
+    def blocks(self, q: np.ndarray, least: float):
+        """As pieces(), compared with all nodes."""
+        step = max(1, BLOCK // max(1, len(self.x)))
+        for at in range(0, len(q), step):
+            sims = q[at : at + step] @ self.x.T
+            r, c = np.nonzero(sims >= least - NEAR)
+            yield r + at, c, sims[r, c]
+
     def within(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs of cosine ``least`` or more, as far as a beam of this width and walks from what it meets find them."""
-        if not len(self.x) or not len(q):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        near = np.zeros((len(q), 1), np.int64)
-        for k in range(len(self.layers) - 1, 0, -1):
-            near = self.beam(q, near[:, :1], k, 1)[0]
-        ids, sims = self.beam(q, near, 0, min(width, len(self.x)))
-        full = (ids[:, -1] >= 0) & (sims[:, -1] >= least - SLACK)
-        r, c = np.nonzero((ids >= 0) & (sims >= least - NEAR) & ~full[:, None])
-        rows = np.flatnonzero(full)
-        more, nodes = self.exact(q[rows], least)
-        known = np.unique(r * len(self.x) + ids[r, c])
-        return np.concatenate([known // len(self.x), rows[more]]), np.concatenate([known % len(self.x), nodes])
+        none = np.zeros(0, np.int64)
+        found = [(none, none), *[p[:2] for p in self.pieces(q, least, width)]]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def exact(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs of cosine ``least`` or more, from all nodes, block by block."""
-        step, found = max(1, BLOCK // max(1, len(self.x))), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for at in range(0, len(q), step):
-            r, c = np.nonzero(q[at : at + step] @ self.x.T >= least - NEAR)
-            found.append((r + at, c))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return self.within(q, least, 0)
 
 
 def search(graph: Graph, probes: np.ndarray, least: float, beam: int = BEAM, recall: float = RECALL) -> tuple[int, float]:
@@ -180,16 +209,20 @@ def search(graph: Graph, probes: np.ndarray, least: float, beam: int = BEAM, rec
     Recall is the lesser of that over all pairs and the mean over probes with partners, each without the probe itself.
     """
     q = graph.x[probes]
-    truth = np.zeros((len(probes), len(graph.x)), bool)
-    truth[graph.exact(q, least)] = True
-    truth[np.arange(len(probes)), probes] = False
-    any_, width = truth.any(1), beam
+
+    def marks(width: int) -> np.ndarray:
+        out = np.zeros((len(probes), len(graph.x)), bool)
+        for r, c, _ in graph.pieces(q, least, width):
+            out[r, c] = True
+        out[np.arange(len(probes)), probes] = False
+        return out
+
+    truth, width = marks(0), beam
+    any_ = truth.any(1)
     if not any_.any():
         return beam, 1.0
     while True:
-        found = np.zeros_like(truth)
-        found[graph.within(q, least, width)] = True
-        both = found & truth
+        both = marks(width) & truth
         reached = min(both.sum() / truth.sum(), float((both.sum(1)[any_] / truth.sum(1)[any_]).mean()))
         if reached >= recall:
             return width, reached
@@ -198,9 +231,9 @@ def search(graph: Graph, probes: np.ndarray, least: float, beam: int = BEAM, rec
             return 0, 1.0
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """As few of the links (a, b) as leave the same nodes connected."""
-    top: dict[int, int] = {}
+def forest(a: np.ndarray, b: np.ndarray, top: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """As few of the links (a, b) as leave the same nodes connected; top: gets each node's parent, a root's being itself."""
+    top = {} if top is None else top
 
     def find(i: int) -> int:
         while (up := top.setdefault(i, i)) != i:
@@ -217,6 +250,42 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def linked(graph: Graph, full: np.ndarray, ids: np.ndarray, counts: np.ndarray, heads: np.ndarray, x: np.ndarray, least: float, width: int):
+    """Batches (a, b, n) of the queries x named heads over a shard's vectors ``full`` named ids, counts of each: how many a query links (b null), and links that connect what it links.
+
+    Cosines that single precision leaves open are computed in double. Nodes that a query has united already have one label, so a group costs a link a query.
+    """
+    label, low, dim = np.arange(len(ids)), x.astype(np.float32), max(1, full.shape[1])
+    for q, node, sims in graph.pieces(low, least, width):
+        good = (sims >= least + NEAR) & (heads[q] != ids[node])
+        open_ = np.flatnonzero((sims < least + NEAR) & (heads[q] != ids[node]))
+        for at in range(0, len(open_), step := max(1, BLOCK // dim)):
+            some = open_[at : at + step]
+            good[some] = np.einsum("ij,ij->i", x[q[some]], full[node[some]]) >= least
+        q, node = q[good], node[good]
+        if not len(q):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        own, of = heads[q[starts]], label[node]
+        first = np.minimum.reduceat(of, starts)
+        n = np.add.reduceat(counts[node], starts)
+        other = np.repeat(first, np.diff(np.append(starts, len(q))))
+        apart = other != of
+        pairs = np.unique(other[apart] * len(ids) + of[apart])
+        tree = np.array(forest(pairs // len(ids), pairs % len(ids), top := {}), np.int64).reshape(-1, 2)
+        if len(tree):
+            root = np.arange(len(ids))
+            for i in top:
+                k = i
+                while top[k] != k:
+                    k = top[k]
+                root[i] = k
+            label = root[label]
+        a, none = np.concatenate([own, own, ids[tree[:, 0]]]), pa.nulls(len(own), pa.int64())
+        b = pa.concat_arrays([none, pa.array(np.concatenate([ids[first], ids[tree[:, 1]]]))])
+        yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([n, np.zeros(len(a) - len(own), np.int64)]))], names=["a", "b", "n"])
+
+
 def unit(column: pa.Array) -> np.ndarray:
     """Rows of an array column of doubles as unit vectors."""
     x = np.asarray(column.flatten()).reshape(len(column), -1)
@@ -236,7 +305,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # shards of each length of vectors; a row a length
     first, plan = 0, []
     for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
-        parts = max(min(shards, -(-r["n"] // 32)), -(-r["n"] // PER_SHARD))
+        parts = max(min(shards, -(-r["n"] // 32)), -(-r["n"] // max(1, min(PER_SHARD, SHARD_BYTES // (8 * r["dim"])))))
         plan.append((r["dim"], first, parts, -(-r["n"] // PER_SLICE)))
         first += parts
     if not plan:
@@ -244,62 +313,77 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     lengths = vectors.sparkSession.createDataFrame(plan, "dim int, first int, parts int, slices int")
     dealt = cut(distinct.withColumn("dim", F.size("v")).join(F.broadcast(lengths), "dim").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts"))).cast("int")))
 
+    spark = vectors.sparkSession
+    folder = scratch(spark, "graphs")
+
     def build(batches):
-        own: list[tuple] = []
-        shard, slices = None, 0
+        ids, counts, parts, shard = [], [], [], None
         for b in batches:
             if b.num_rows:
-                shard, slices = b.column(0)[0].as_py(), b.column(1)[0].as_py()
-                own.append((np.asarray(b.column(2)), np.asarray(b.column(3)), unit(b.column(4))))
+                shard = b.column(0)[0].as_py()
+                ids.append(np.array(b.column(1)))
+                counts.append(np.array(b.column(2)))
+                parts.append(unit(b.column(3)))
         if shard is not None:
-            ids, counts, full = (np.concatenate([o[k] for o in own]) for k in range(3))
-            order = np.argsort(ids, kind="stable")
-            ids, counts, full = ids[order], counts[order], full[order]
+            order = np.argsort(np.concatenate(ids), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            full, at = np.empty((len(order), parts[0].shape[1])), 0
+            while parts:
+                x = parts.pop(0)
+                full[place[at : at + len(x)]] = x
+                at += len(x)
+            ids, counts = np.concatenate(ids)[order].astype("<i8"), np.concatenate(counts)[order].astype("<i8")
             graph = Graph(full)
             probes = np.unique(np.linspace(0, len(full) - 1, min(AUDITED, len(full))).astype(int))
             width, recall = search(graph, probes, least)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "slices": [slices], "width": [width], "recall": [recall], "graph": [pickle.dumps((ids, counts, full, graph.layers, graph.tops))]}, schema=pa.schema([("shard", pa.int32()), ("slices", pa.int32()), ("width", pa.int64()), ("recall", pa.float64()), ("graph", pa.binary())]))
+            write_whole(f"{folder}/{shard}.ids", [ids])
+            write_whole(f"{folder}/{shard}.vectors", [full])
+            write_whole(f"{folder}/{shard}.graph", [pickle.dumps((counts, graph.layers, graph.tops))])
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "n": [len(full)], "width": [width], "recall": [recall]}, schema=pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("width", pa.int64()), ("recall", pa.float64())]))
 
-    graphs = cut(dealt.repartitionById(first, F.col("shard")).select("shard", "slices", "head", "n", "v").mapInArrow(build, "shard int, slices int, width long, recall double, graph binary"))
+    graphs = dealt.repartitionById(first, F.col("shard")).select("shard", "head", "n", "v").mapInArrow(build, "shard int, n long, width long, recall double")
+    made = {r["shard"]: (r["n"], r["width"]) for r in graphs.collect()}  # a row a shard
 
-    # a task for each shard and slice of the queries: it reads the graph first, then streams the queries
-    most = max(p[3] for p in plan)
-    held = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("asks"), "width", "graph", F.lit(0).cast("long").alias("head"), F.array().cast("array<double>").alias("v"))
-    slice_ = F.pmod(F.xxhash64("key", F.lit(11)), F.col("slices")).cast("int")
-    asked = dealt.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("shard"), slice_.alias("slice"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("width"), F.lit(None).cast("binary").alias("graph"), "head", "v")
-    tasks = held.unionByName(asked).withColumn("task", F.col("shard") * most + F.col("slice"))
-    tasks = tasks.repartitionById(first * most, F.col("task")).sortWithinPartitions("asks")
+    def slab(name: str, kind: str, dim: int, lo: int, hi: int) -> np.ndarray:
+        """Rows lo to hi of a stored array."""
+        store, at = filesystem(f"{folder}/{name}")
+        with store.open_input_file(at) as f:
+            f.seek(8 * dim * lo)
+            return np.frombuffer(f.read(8 * dim * (hi - lo)), kind).reshape(-1, dim)
 
     def run(batches):
-        graph = None
-
-        def answer(heads: np.ndarray, x: np.ndarray):
-            low = x.astype(np.float32)
-            q, node = graph.within(low, least, width) if width else graph.exact(low, least)
-            exact = np.einsum("ij,ij->i", x[q], full[node]) >= least
-            q, node = q[exact], node[exact]
-            other = heads[q] != own_ids[node]
-            q, node = q[other], node[other]
-            n = np.bincount(q, own_n[node], len(heads)).astype(np.int64)
-            tree = forest(heads[q], own_ids[node])
-            at = np.flatnonzero(n)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([heads[at], np.array([e[0] for e in tree], np.int64)])), pa.array([None] * len(at) + [e[1] for e in tree], pa.int64()), pa.array(n[at].tolist() + [0] * len(tree), pa.int64())], names=["a", "b", "n"])
-
         for b in batches:
-            asks = np.asarray(b.column(0))
-            if graph is None and b.num_rows:
-                width = b.column(1)[0].as_py()
-                own_ids, own_n, full, layers, tops = pickle.loads(b.column(2)[0].as_py())
-                graph = Graph(np.zeros((0, full.shape[1])))
-                graph.x, graph.layers, graph.tops = np.ascontiguousarray(full, np.float32), layers, tops
-                step = int(max(64, min(LOCKSTEP, MARKS // max(1, len(full)), BLOCK * 4 // max(1, len(full)))))
-            at = int((asks == 0).sum())
-            if at < b.num_rows:
-                heads, x = np.asarray(b.column(3).slice(at)), unit(b.column(4).slice(at))
-                for k in range(0, len(heads), step):
-                    yield answer(heads[k : k + step], x[k : k + step])
-
-    found = cut(tasks.select("asks", "width", "graph", "head", "v").mapInArrow(run, "a long, b long, n long"))
+            for task in b.column(0).to_pylist():
+                for dim, start, parts, slices in plan:
+                    if task < parts * slices:
+                        yield from one(start + task // slices, task % slices, dim, start, parts, slices)
+                        break
+                    task -= parts * slices
+
+    def one(shard: int, slice_: int, dim: int, start: int, parts: int, slices: int):
+        """A shard's graph asked for the slice of all queries of its length."""
+        if shard not in made:
+            return
+        n, width = made[shard]
+        ids, full = slab(f"{shard}.ids", "<i8", 1, 0, n)[:, 0], slab(f"{shard}.vectors", "<f8", dim, 0, n)
+        store, at = filesystem(f"{folder}/{shard}.graph")
+        with store.open_input_stream(at) as f:
+            counts, layers, tops = pickle.loads(f.read())
+        graph = Graph(np.zeros((0, dim)))
+        graph.x, graph.layers, graph.tops = full.astype(np.float32), layers, tops
+        total, before = sum(made[k][0] for k in range(start, start + parts) if k in made), 0
+        lo, hi = total * slice_ // slices, total * (slice_ + 1) // slices
+        for k in range(start, start + parts):
+            size = made[k][0] if k in made else 0
+            i, j = max(lo - before, 0), min(hi - before, size)
+            if i < j:
+                yield from linked(graph, full, ids, counts, slab(f"{k}.ids", "<i8", 1, i, j)[:, 0], slab(f"{k}.vectors", "<f8", dim, i, j), least, width)
+            before += size
+
+    tasks = sum(parts * slices for _, _, parts, slices in plan)
+    found = cut(spark.range(0, tasks, 1, tasks).mapInArrow(run, "a long, b long, n long"))
+    remove(spark, folder)
     united = components(found.where("b is not null").select("a", "b").unionByName(good.join(distinct.select("key", "head"), "key").select(F.col("id").alias("a"), F.col("head").alias("b"))))
     links = found.where("b is null").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("more"))
     counted = distinct.join(links, "head", "left").select("key", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from tessera.llm import hnsw
@@ -89,3 +91,32 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, hnsw.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 0, None, False), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)], key=str)
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_memory_of_a_large_group(spark, monkeypatch):
+    """Neither the audit nor the answers to queries hold all pairs of a group, and shards are bounded in bytes."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=64) + rng.normal(size=(12_000, 64)) * 0.15
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = hnsw.Graph(x[:0])
+    g.x = x.astype(np.float32)
+    g.layers, g.tops = [np.full((len(x), 24), -1, np.int32)], np.zeros(len(x), int)
+    ids, ones = np.arange(len(x)), np.ones(len(x), np.int64)
+    tracemalloc.start()
+    try:
+        hnsw.search(g, np.arange(0, len(x), 12), 0.9)
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+        tracemalloc.reset_peak()
+        got = [b.to_pydict() for b in hnsw.linked(g, x, ids, ones, ids[:500], x[:500], 0.9, 0)]
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
+    n = {a: n for b in got for a, c, n in zip(b["a"], b["b"], b["n"], strict=True) if c is None}
+    want = (x[:500] @ x.T >= 0.9).sum(1) - 1
+    assert [n.get(i, 0) for i in range(500)] == want.tolist()
+    assert sum(len(b["a"]) for b in got) < 2 * 500 + len(x)  # a link a query and a tree, not all pairs
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 8 * 16 * 40)
+    rows = [(i, v.tolist()) for i, v in enumerate(clusters(600, 4))]
+    want = brute(rows)
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sum(r["n_links"] for r in got) >= 0.99 * sum(w[0] for w in want.values()) and all(r["n_links"] <= want[r["vec_id"]][0] for r in got)
