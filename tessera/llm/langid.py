@@ -5,9 +5,9 @@ n-gram's slots, ANDed, are the set of all languages whose filter contains it: on
 Popcounts of these bits over a text's n-grams, one for each language, are corrected for the share of false positives that the
 filter's fill predicts, and the language with the greatest corrected count wins (ties: by code point).
 
-A language's filter takes the n-grams that its sample shows at least MIN_COUNT times and at least 1 / RATIO as often, in proportion, as
-the language that shows it most. The sample is of PER_LANGUAGE documents a language in expectation, chosen by a hash of
-the id; whole texts are read. Prediction reads the text only.
+A language's filter takes the n-grams that its labelled texts show at least MIN_COUNT times and at least 1 / RATIO as often, in proportion, as
+the language that shows it most. All labelled rows are counted, whole; a task merges its counts before they are shuffled, and hands them on when
+it holds HELD of them. Prediction reads the text only.
 
 Defined cases: null text, or text without a letter: ``und``, score 0; no labelled rows at all: ``und``; null labels or
 ids teach nothing; texts of any length are read whole; repeated rows get the same answer; further columns are ignored; an empty table gives an empty result.
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, semi, unused
 
-#: Documents of a language that are learned from, in expectation, and slots of the filter: its size is 8 MB for every 64 languages.
-PER_LANGUAGE, SLOTS = 2000, 1 << 20
+#: Slots of the filter: its size is 8 MB for every 64 languages; and counts of n-grams that a task holds before it hands them on.
+SLOTS, HELD = 1 << 20, 1 << 20
 SIZES, MIN_COUNT, RATIO = (3, 4), 3, 4
-#: Of the usual support of its predicted language, a recognised text has so much.
-ENOUGH = 0.5
+#: Of the usual support of its predicted language, a recognised text has so much; parts that a support is counted in.
+ENOUGH, GRAIN = 0.5, 1 << 16
 #: Odd constants of the n-gram hash, one for each place, and of its mixing.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -88,6 +88,17 @@ def slots(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(n - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(n - 1)).astype(np.int64)
 
 
+NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def tally(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of two tallies: sorted values and how often each was seen."""
+    at = np.searchsorted(a, b)
+    known = a[np.minimum(at, len(a) - 1)] == b if len(a) else np.zeros(len(b), bool)
+    n[at[known]] += m[known]
+    return np.insert(a, at[~known], b[~known]), np.insert(n, at[~known], m[~known])
+
+
 class Model:
     """languages in code point order; tables[i] has bit j of each slot for language 64 * i + j."""
 
@@ -124,10 +135,10 @@ class Model:
         return [(self.languages[b], float(min(1.0, x / s)) if s > 0 else 0.0, u) if has else ("und", 0.0, 0.0) for b, x, s, u, has in zip(best.tolist(), top.tolist(), sums.tolist(), support.tolist(), some.tolist(), strict=True)]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, n_slots: int = SLOTS) -> Model:
-    """Learn from docs' labelled rows, all of which may be learned from.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int | None = None, n_slots: int = SLOTS) -> Model:
+    """Learn from all of docs' labelled rows; where per_language is given, from so many of a language in expectation, chosen by a hash of the id.
 
-    The driver gets a row for each label and for each slot that is set, both bounded by the parameters.
+    The driver gets a row for each label and for each slot that is set.
     """
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and id is not null and text is not null")
     seen = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
@@ -135,23 +146,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not languages:
         return Model([], [])
     number = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / seen[k])))])
-    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    sample = usable.where(drawn).select(number[F.col("lang")].alias("lang"), "text")
+    if per_language is not None:
+        share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / seen[k])))])
+        usable = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    labelled = usable.select(number[F.col("lang")].alias("lang"), "text")
 
     def count(batches):
-        letter = letters()
+        letter, held = letters(), {}
+
+        def emptied():
+            for (i, size), (found, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(np.full(len(found), size)), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "size", "gram", "n"])
+            held.clear()
+
         for b in batches:
-            langs, texts = np.array(b.column(0).to_pylist()), b.column(1).to_pylist()
-            for i in np.unique(langs).tolist():
-                for _, _, flat, inside in groups([t for t, k in zip(texts, langs, strict=True) if k == i], letter):
-                    for size in SIZES:
-                        h, real = grams(flat, size)
-                        found, n = np.unique(h[real & inside[: len(h)]], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(np.full(len(found), size)), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "size", "gram", "n"])
-
-    counts = sample.mapInArrow(count, "lang long, size long, gram long, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-    totals = sample.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
+            for at in range(0, b.num_rows, 256):
+                c = b.slice(at, 256)
+                langs, texts = np.array(c.column(0).to_pylist()), c.column(1).to_pylist()
+                for i in np.unique(langs).tolist():
+                    for _, _, flat, inside in groups([t for t, k in zip(texts, langs, strict=True) if k == i], letter):
+                        for size in SIZES:
+                            h, real = grams(flat, size)
+                            held[i, size] = tally(*held.get((i, size), NONE), *np.unique(h[real & inside[: len(h)]], return_counts=True))
+                        if sum(len(x) for x, _ in held.values()) >= HELD:
+                            yield from emptied()
+        yield from emptied()
+
+    counts = labelled.mapInArrow(count, "lang long, size long, gram long, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+    totals = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
     rates = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("chars"))  # a row a language
     by_gram = rates.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate")).alias("in"))  # a language each at most
     chosen = by_gram.select("gram", F.explode(F.filter("in", lambda x: x["rate"] * RATIO >= F.col("most"))).alias("x")).select("gram", (F.col("x.lang") / 64).cast("long").alias("table"), F.expr("shiftleft(1L, cast(x.lang % 64 as int))").alias("bit"))
@@ -186,23 +208,25 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str =
 def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, with all their columns, in whose text a language is recognised.
 
-    A text needs support above 0 and at least ENOUGH times the median of a sample of the labelled rows of the same predicted language.
-    Languages of one vocabulary may support a text alike: no margin to the second one is asked for. If nothing was learned
-    (no labels, or no n-gram seen MIN_COUNT times), every text with a letter stays.
+    A text needs support above 0 and at least ENOUGH times the median of all labelled rows of the same predicted language; supports are
+    compared to GRAIN parts, so a language's supports are counted in as many rows and the median is that of the counts. Languages of one
+    vocabulary may support a text alike: no margin to the second one is asked for. If nothing was learned (no labels, or no n-gram seen
+    MIN_COUNT times), every text with a letter stays.
     """
     model = fit(docs, id_col, text_col, lang_col)
     if not any(t.any() for t in model.tables):
         return docs.where(F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    share = min(1.0, PER_LANGUAGE * len(model.languages) / max(1, labelled.count()))
-    sample = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20))
-    usual = predict(sample, model, id_col, text_col).where("lang_pred <> 'und'").groupBy("lang_pred").agg(F.percentile_approx("support", 0.5).alias("m")).collect()  # a row a language
-    least = F.create_map(*[x for r in usual for x in (F.lit(r["lang_pred"]), F.lit(ENOUGH * r["m"]))]) if usual else F.create_map(F.lit(""), F.lit(0.0))
     # rows are told apart by a hash of id and text: Python gets no other column, and texts are shuffled only if very many rows go
     made = unused(docs)
     marked = docs.withColumn(made, F.xxhash64(F.col(id_col), F.col(text_col)))
-    enough = (F.col("support") > 0) & (F.col("support") >= F.coalesce(least[F.col("lang_pred")], F.lit(0.0)))
-    gone = cut(predict(marked, model, made, text_col).where(~enough).select(made).distinct())
+    taken = marked.select(F.struct(made, (F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).alias("labelled")).alias("row"), text_col)
+    judged = predict(taken, model, "row", text_col).select("row.*", "lang_pred", F.floor(F.col("support") * GRAIN).alias("part"), (F.col("support") > 0).alias("some"))
+    judged = cut(judged)
+    tallied = judged.where("labelled and lang_pred <> 'und'").groupBy("lang_pred", "part").agg(F.count(F.lit(1)).alias("n"))  # GRAIN + 1 rows a language at most
+    usual = tallied.groupBy("lang_pred").agg(F.percentile("part", 0.5, F.col("n")).alias("m")).collect()  # a row a language
+    least = F.create_map(*[x for r in usual for x in (F.lit(r["lang_pred"]), F.lit(ENOUGH * r["m"]))]) if usual else F.create_map(F.lit(""), F.lit(0.0))
+    enough = F.col("some") & (F.col("part") >= F.coalesce(least[F.col("lang_pred")], F.lit(0.0)))
+    gone = cut(judged.where(~enough).select(made).distinct())
     return semi(marked, gone, made, "left_anti").select(*docs.columns)
 
 

@@ -116,3 +116,26 @@ def test_many_languages(spark):
     got = langid.predict(df, langid.fit(df)).collect()
     truth = {a: c for a, _, c in rows}
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in got]) > 0.95
+
+
+def test_all_rows_count(spark, monkeypatch):
+    """Filters hold what few of many labelled rows show, and a usual support is that of all, whatever a task holds at once."""
+    rows = [(i, "kalo miren tulo " * 3 + ("wqzzjwqzzj" if i in (4001, 4003, 4007) else ""), "xx") for i in range(6000)]
+    rows += [(i, "kalo miren tulo vbbgd", "xx") for i in range(6000, 6200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df)
+    (table,) = model.tables
+    for size in langid.SIZES:
+        one, two = langid.slots(langid.grams(np.array(list(map(ord, "wqzzjwqzzj")), np.uint32), size)[0], len(table))
+        assert (table[one] & table[two] & np.uint64(1)).all()
+    monkeypatch.setattr(langid, "HELD", 5)
+    assert (langid.fit(df).tables[0] == table).all()
+    # the median of all rows is 1: a text with a known third goes
+    odd = spark.createDataFrame([(9000, "kalo " + "ggkkpp " * 9, None)], df.schema)
+    assert langid.recognised(df.union(odd)).count() == len(rows)
+
+
+def test_tally():
+    a, n = langid.tally(np.array([2, 5], np.uint64), np.array([1, 3]), np.array([1, 2, 9], np.uint64), np.array([4, 5, 6]))
+    assert a.tolist() == [1, 2, 5, 9] and n.tolist() == [4, 6, 3, 6]
+    assert [x.tolist() for x in langid.tally(*langid.NONE, *langid.tally(*langid.NONE, a, n))] == [a.tolist(), n.tolist()]
