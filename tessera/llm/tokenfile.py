@@ -198,16 +198,14 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     total = sum(r["n"] for r in counted)
 
-    def code(batches):
-        for b in batches:
-            rows = [np.frombuffer(x, kind) for x in b.column(1).to_pylist()]
-            packed = [pack(rank[x]) for x in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], names=["key", "n", "control", "data"])
+    def code(ids: pa.Buffer) -> tuple[int, bytes, bytes]:
+        x = np.frombuffer(ids, kind)
+        return len(x), *pack(rank[x])
 
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 64_000_000))
-    coded = ids.mapInArrow(code, "key long, n long, control binary, data binary").withColumn("tie", F.xxhash64("control", "data"))
-    # the order needs keys and ties alone; bounds are drawn from a sample of them
-    placed = coded.repartitionByRange(shards, F.col("key").asc_nulls_first(), "tie").sortWithinPartitions(F.col("key").asc_nulls_first(), "tie")
+    # bounds are drawn from a sample of keys and ties, for which all rows are read once more: so ids are coded behind the shuffle, once
+    order = [F.col("key").asc_nulls_first(), F.col("tie")]
+    placed = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def store(batches):
         shard = TaskContext.get().partitionId()
@@ -226,8 +224,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id
                 yield data
 
             for b in more():
-                for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                    held.append(row)
+                for key, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    held.append(row := (key, *code(ids.as_buffer())))
                     size += len(row[2]) + len(row[3])
                     tally[0] += 1
                     tally[1] += row[1]

@@ -53,3 +53,19 @@ def test_ties_and_empty(spark):
     assert sorted(r["start"] for r in got)[0] == 0 and sum(r["n_tokens"] for r in got) == 2 + 3 + 3 + 2
     assert {r["doc_id"]: r["start"] for r in got}[0] == 0
     assert tf.roundtrip(df.limit(0), PATH).count() == 0
+
+
+def test_coded_once(spark, tmp_path, monkeypatch):
+    """Each document's ids are coded once, though a range shuffle reads its rows twice."""
+    pack, log = tf.pack, f"{tmp_path}/log"
+
+    def counted(ranks):
+        with open(log, "a") as f:
+            f.write("x")
+        return pack(ranks)
+
+    monkeypatch.setattr(tf, "pack", counted)
+    df = spark.createDataFrame([(i, f"word {i}") for i in range(50)], "doc_id long, text string").repartition(3)
+    assert tf.write(df, f"{tmp_path}/t", PATH).count() > 0
+    with open(log) as f:
+        assert len(f.read()) == 50
