@@ -11,7 +11,7 @@ Each set also carries a parity bitmap: its bits differ from another's in at most
 more places than similar sets can is no candidate. The tokens of a prefix that no other prefix holds bound the partner's size.
 
 Steps, none of which holds a group in one task's memory or returns all pairs of a group of copies: equal sets are grouped by
-a digest and one row goes on for each; each key's documents are verified against the key's least changed document, and linked ones united; then
+a digest and one row goes on for each; of keys that the same documents hold one goes on; each key's documents are verified against the key's least changed document, and linked ones united; then
 pairs of a key that lie in different components and pass bitmap and size bounds are candidates, and verified. Pairs inside a component need no
 test, so the components are exact.
 
@@ -41,8 +41,8 @@ from .common import Recent, components, cut, release, semi, unused
 FREQUENT, WORDS, LISTED = 50, 1 << 16, 1 << 20
 #: Bits of a token's hash, below six of its rank by rarity; the bit above marks the frequent class.
 BITS, LATE = 56, 1 << 62
-#: Entries of a lookup cache, and bits of a parity bitmap.
-CACHE, PARITY = 200_000, 512
+#: Entries of a lookup cache, bits of a parity bitmap, and a node's smallest keys that are looked at to make a pair once.
+CACHE, PARITY, LOWS = 200_000, 512, 64
 MAPS = [f"m{k}" for k in range(PARITY // 64)]
 M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 
@@ -250,6 +250,31 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, id_col: str, t
     return cut(found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
+def one_key(posted: DataFrame) -> DataFrame:
+    """(key, lead, rares) from (key, node, rare): of the keys that the same two or more nodes hold the smallest one, their least changed node, and how many of them are rare tokens.
+
+    Near copies share many keys, and each of these would make the same pairs again. Sets of nodes are compared by count, lead and two hashes.
+    """
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rare", "node")).alias("lead"), *marks).where("c > 1")
+    return shared.groupBy("c", F.col("lead.node").alias("lead"), "h0", "h1").agg(F.min("key").alias("key"), F.count_if(F.col("key") >= 0).alias("rares")).select("key", "lead", "rares")
+
+
+def side(name: str, of: DataFrame) -> DataFrame:
+    return of.select(*[F.col(c).alias(name if c == "node" else c if c == "key" else f"{name}_{c}") for c in of.columns])
+
+
+def crossing(held: DataFrame, about: DataFrame, may) -> DataFrame:
+    """Pairs (a, b) of nodes of other homes that share a key of held (key, node, home) and pass ``may`` over the columns of about.
+
+    A pair that shares many keys is made at the smallest one alone, if that is among the first LOWS of both: any smaller one would be, too. Else it is made at each.
+    """
+    lows = held.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LOWS).alias("lows"))
+    open_ = cut(held.join(about, "node").join(lows, "node"))
+    once = F.expr("key = coalesce(array_min(array_intersect(a_lows, b_lows)), key)")
+    return side("a", open_).join(side("b", open_), "key").where("a < b and a_home <> b_home").where(may).where(once).select("a", "b")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) for every row: sets of num / den similarity or more link; more than a half."""
     if not den < 2 * num <= 2 * den:
@@ -275,19 +300,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         entries = cut(entries.where("keys is not null").unionByName(again))
     release(spark)
     posted = entries.select("node", "rare", F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rare", "node")).alias("lead")).where("c > 1")
-    live = cut(posted.join(shared.select("key", F.col("lead.node").alias("lead")), "key").select("key", "node", "lead"))
+    live = cut(posted.join(one_key(posted), "key").select("key", "node", "lead", "rares"))
     # of a pair, the set whose prefix ends first holds none of its own rare tokens in common with the other: that bounds the other's size
-    met = live.where("key >= 0").groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+    met = live.groupBy("node").agg(F.sum("rares").alias("met"))
     about = base.withColumnRenamed("row", "node").select("node", "n", *MAPS).join(entries.select("node", "rare", "last"), "node").join(met, "node", "left")
     about = cut(about.withColumn("most", F.expr(f"((n - rare + coalesce(met, 0)) * {num + den}) div {num} - n")).select("node", "n", "last", "most", *MAPS))
     near = " + ".join(f"bit_count(a_{m} ^ b_{m})" for m in MAPS)
     may = F.expr(f"""{den} * least(a_n, b_n) >= {num} * greatest(a_n, b_n) and if(a_last <= b_last, b_n <= a_most, true) and if(b_last <= a_last, a_n <= b_most, true)
         and ({near}) * {num + den} <= (a_n + b_n) * {den - num}""")
 
-    def side(name: str, of: DataFrame) -> DataFrame:
-        return of.select(*[F.col(c).alias(name if c == "node" else c if c == "key" else f"{name}_{c}") for c in of.columns])
-
     release(spark)
     how = (heads, id_col, text_col, size, num, den, held)
     stars = live.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -297,10 +318,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     united = components(links)
     release(spark)
     homes = heads.select("node", "id").join(united.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("home"))
-    homed = live.drop("lead").join(homes, "node")
+    homed = live.drop("lead", "rares").join(homes, "node")
     mixed = homed.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("key")
-    open_ = cut(homed.join(mixed, "key", "left_semi").join(about, "node"))
-    crossed = side("a", open_).join(side("b", open_), "key").where("a < b and a_home <> b_home").where(may).select("a", "b").distinct()
+    crossed = crossing(cut(homed.join(mixed, "key", "left_semi")), about, may).distinct()
     del homed, mixed, stars, hopeful, posted
     more = verified(crossed, known, *how)
     release(spark)

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.llm import common, ngramjoin
 from tessera.llm.common import components
 
@@ -148,3 +150,16 @@ def test_components(spark):
             top[y] = x
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: find(i) for i in top}
+
+
+def test_pairs_are_made_once(spark):
+    """Keys that the same nodes hold go on as one, and a pair of many keys is one row of the join."""
+    rows = [(k, node, node % 3) for k in range(-20, 30) for node in range(6)] + [(100, 1, 1), (100, 2, 2), (101, 7, 1)]
+    got = {r["key"]: (r["lead"], r["rares"]) for r in ngramjoin.one_key(spark.createDataFrame(rows, "key long, node long, rare long")).collect()}
+    assert got == {-20: (0, 30), 100: (1, 1)}
+    # nodes 0 to 3 share 40 keys; 8 and 9 share only one that is behind the first ones of both
+    n = ngramjoin.LOWS + 5
+    held = [(k, node, node) for k in range(40) for node in range(4)] + [(1000 * node + k, node, node) for k in range(n) for node in (8, 9)] + [(99_999, node, node) for node in (8, 9)]
+    about = spark.createDataFrame([(node, node) for node in range(10)], "node long, n long")
+    made = sorted(map(tuple, ngramjoin.crossing(spark.createDataFrame(held, "key long, node long, home long"), about, F.col("a_n") < F.col("b_n")).collect()))
+    assert made == [(a, b) for a in range(4) for b in range(a + 1, 4)] + [(8, 9)]
