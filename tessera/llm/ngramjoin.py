@@ -300,7 +300,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         entries = cut(entries.where("keys is not null").unionByName(again))
     release(spark)
     posted = entries.select("node", "rare", F.explode("keys").alias("key"))
-    live = cut(posted.join(one_key(posted), "key").select("key", "node", "lead", "rares"))
+    shared = cut(posted.join(posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key"))  # most keys stand alone and go by few bytes
+    release(spark)
+    live = cut(shared.join(one_key(shared), "key").select("key", "node", "lead", "rares"))
     # of a pair, the set whose prefix ends first holds none of its own rare tokens in common with the other: that bounds the other's size
     met = live.groupBy("node").agg(F.sum("rares").alias("met"))
     about = base.withColumnRenamed("row", "node").select("node", "n", *MAPS).join(entries.select("node", "rare", "last"), "node").join(met, "node", "left")
@@ -321,7 +323,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     homed = live.drop("lead", "rares").join(homes, "node")
     mixed = homed.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("key")
     crossed = crossing(cut(homed.join(mixed, "key", "left_semi")), about, may).distinct()
-    del homed, mixed, stars, hopeful, posted
+    del homed, mixed, stars, hopeful, posted, shared
     more = verified(crossed, known, *how)
     release(spark)
     members = base.where("n > 0 and id is not null").join(heads.select("digest", F.col("id").alias("head")), "digest").select(F.col("id").alias("a"), F.col("head").alias("b"))
