@@ -13,7 +13,6 @@ input are ignored; an empty table gives an empty result. Texts may be of any len
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import os
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Recent
+from .common import Recent, kept
 
 #: Characters from which an unsplit piece is encoded as a tree, and of its leaves; units of a text's leaves; entries of a lookup cache.
 LONG, LEAF, UNITS, CACHE = 256, 128, 128, 300_000
@@ -141,11 +140,12 @@ class TreeBPE:
         """Whether each space that is followed by something starts a piece, so what lies between can be encoded alone."""
         return "  " not in text and not text.endswith(" ") and not self.mark.search(text)
 
-    def held(self, ids: list[int]) -> tuple[int, str, bytes]:
-        """Number of ids, the ids with a comma before each, and their bytes."""
-        return len(ids), "," + ",".join(map(str, ids)) if ids else "", b"".join(map(self.token_bytes.__getitem__, ids))
+    def held(self, ids: list[int], unit: str = "") -> tuple[int, str, str]:
+        """Number of ids, the ids with a comma before each, and what they decode to, bytes that are no UTF-8 escaped; if that is the unit, itself and no copy."""
+        back = b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "surrogateescape")
+        return len(ids), "," + ",".join(map(str, ids)) if ids else "", unit if back == unit else back
 
-    def unit(self, unit: str) -> tuple[int, str, bytes]:
+    def unit(self, unit: str) -> tuple[int, str, str]:
         """held() of a unit's ids; of a word with marks behind it, the parts are looked up."""
         if self.plain and max(unit) < "\u0250":  # Latin letters
             word = unit.rstrip(TAIL)
@@ -154,10 +154,11 @@ class TreeBPE:
                 if mark not in self.marks and len(self.marks) < CACHE:
                     self.marks[mark] = self.held(self.library(mark))
                 one, two = self.units[word], self.marks.get(mark) or self.held(self.library(mark))
-                return one[0] + two[0], one[1] + two[1], one[2] + two[2]
+                back = one[2] + two[2]
+                return one[0] + two[0], one[1] + two[1], unit if back == unit else back
             if (unit[1:] if unit[0] == " " else unit).isalpha():
-                return self.held(self.word(unit) if len(unit) <= self.long else self.tree(unit.encode().decode("latin-1").translate(self.chars)))
-        return self.held(self.encode(unit) if len(unit) > self.long else self.library(unit))
+                return self.held(self.word(unit) if len(unit) <= self.long else self.tree(unit.encode().decode("latin-1").translate(self.chars)), unit)
+        return self.held(self.encode(unit) if len(unit) > self.long else self.library(unit), unit)
 
     def joined(self, units: list[str], found: list[tuple]) -> list[tuple]:
         """found, the units' encodings, after windows around the joins of the tree's leaves have been encoded again."""
@@ -166,13 +167,12 @@ class TreeBPE:
             while True:
                 self.joins += 1
                 i, j = max(0, cut - k), min(len(units), cut + k)
-                ids = self.library("".join(units[i:j]))
+                n, text, back = self.held(self.library("".join(units[i:j])))
                 first, last = found[i], found[j - 1]
-                text = "," + ",".join(map(str, ids))
                 # a unit that a window has taken in has no ids of its own to agree with
                 if (i == 0 or first[1] and f"{text},".startswith(f"{first[1]},")) and (j == len(units) or last[1] and text.endswith(last[1])):
                     if text != "".join([x[1] for x in found[i:j]]):  # the window holds: it takes the place of its units
-                        found[i:j] = [(len(ids), text, b"".join(map(self.token_bytes.__getitem__, ids))), *[(0, "", b"")] * (j - i - 1)]
+                        found[i:j] = [(n, text, back), *[(0, "", "")] * (j - i - 1)]
                     break
                 k *= 2
         return found
@@ -183,7 +183,7 @@ class TreeBPE:
             first, *rest = text.split(" ")
             units = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
             n, ids, back = zip(*self.joined(units, list(map(self.units.__getitem__, units))), strict=True)
-            n, ids, back = sum(n), "".join(ids)[1:], b"".join(back)
+            n, ids, back = sum(n), "".join(ids)[1:], "".join(back).encode("utf-8", "surrogateescape")
         else:
             found = self.encode(text)
             n, ids, back = len(found), ",".join(map(str, found)), b"".join(map(self.token_bytes.__getitem__, found))
@@ -191,11 +191,10 @@ class TreeBPE:
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
-@functools.lru_cache(1)
 def encoder(path: str) -> TreeBPE:
     """Held by a Python worker from task to task; one thread a task, if nothing else is asked for."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return TreeBPE(path)
+    return kept(TreeBPE, path)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

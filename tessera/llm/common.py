@@ -81,6 +81,19 @@ class Recent(dict):
         return value
 
 
+#: What this Python worker keeps from task to task.
+_kept: dict = {}
+
+
+def kept(make, *key):
+    """make(*key), kept by a Python worker from task to task until it makes something else, so it never has two operators' tables."""
+    if (make, *key) not in _kept:
+        _kept.clear()
+        gc.collect()  # tables and what fills them refer to each other
+        _kept[make, *key] = make(*key)
+    return _kept[make, *key]
+
+
 #: Rows of a broadcast at most.
 BROADCAST = 400_000
 

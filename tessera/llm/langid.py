@@ -15,7 +15,6 @@ ids teach nothing; texts of any length are read whole; repeated rows get the sam
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, semi, unused
+from .common import cut, kept, semi, unused
 
 #: Slots of the filter: its size is 8 MB for every 64 languages; and counts of n-grams that a task holds before it hands them on.
 SLOTS, HELD = 1 << 20, 1 << 20
@@ -38,9 +37,12 @@ GAP = max(SIZES)
 CHUNK = 1 << 18
 
 
-@functools.lru_cache(1)
 def letters() -> np.ndarray:
-    """For each code point whether it is a letter."""
+    """For each code point whether it is a letter; held by a Python worker from task to task."""
+    return kept(letter_table)
+
+
+def letter_table() -> np.ndarray:
     return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x30000)] + [False] * (0x110000 - 0x30000))
 
 

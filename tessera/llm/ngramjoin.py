@@ -25,7 +25,6 @@ links are those of all its texts; texts are read whole; further columns are igno
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections import Counter
 
@@ -35,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, components, cut, release, semi, unused
+from .common import Recent, components, cut, kept, release, semi, unused
 
 #: A token in the first tokens of more than so many sets is of the frequent class; words and tokens listed at most.
 FREQUENT, WORDS, LISTED = 50, 1 << 16, 1 << 20
@@ -83,9 +82,12 @@ class Shingler:
         return np.unique(rank << np.uint64(BITS) | mixed >> np.uint64(64 - BITS)).view(np.int64)
 
 
-@functools.lru_cache(2)
 def shingler(size: int, levels: tuple) -> Shingler:
     """Held by a Python worker from task to task."""
+    return kept(made, size, levels)
+
+
+def made(size: int, levels: tuple) -> Shingler:
     return Shingler(size, dict(levels))
 
 

@@ -16,7 +16,6 @@ no row. Texts may be of any length.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from array import array
 
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import TAIL, bytes_to_chars
-from .common import Recent, cut, remove, scratch
+from .common import Recent, cut, kept, remove, scratch
 
 MAGIC = b"TSRVB001"
 #: Bytes of a block at most, except for a longer document's own, and entries of a lookup cache.
@@ -130,10 +129,9 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
-@functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
     """Held by a Python worker from task to task."""
-    return Encoder(path)
+    return kept(Encoder, path)
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:

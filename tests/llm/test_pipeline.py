@@ -1,12 +1,13 @@
 import hashlib
 import random
+import weakref
 
 import duckdb
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import mixing, quality
+from tessera.llm import bpe, langid, mixing, ngramjoin, quality
 
 from .test_ngramjoin import brute
 
@@ -58,3 +59,16 @@ def test_stages_keep_columns_and_odd_rows(spark):
         assert stage(spark, df, "").columns == df.columns
         assert stage(spark, df.limit(0), "").count() == 0
     assert quality.passing(df).where("doc_id is null").count() == 1
+
+
+def test_a_worker_holds_one_operators_tables():
+    """Python workers go from stage to stage, and what a stage before looked up must not stay beside the next one's."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    shingles = weakref.ref(ngramjoin.shingler(5, ()))
+    assert ngramjoin.shingler(5, ()) is shingles()
+    tree = weakref.ref(bpe.encoder(path))
+    assert shingles() is None and bpe.encoder(path) is tree()
+    letters = weakref.ref(langid.letters())
+    assert tree() is None and langid.letters() is letters()
+    ngramjoin.shingler(5, ())
+    assert letters() is None
