@@ -16,6 +16,7 @@ no row. Texts may be of any length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -32,31 +33,70 @@ MAGIC = b"TSRVB001"
 #: Bytes of a block at most, except for a longer document's own, and entries of a lookup cache.
 BLOCK, CACHE = 8 << 20, 500_000
 #: Lengths of the four ranks of each control byte.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
+#: Ids that are decoded together, except for a longer document's own.
+TOGETHER = 1 << 16
+#: Latin letters that have one letter in lower case.
+LETTERS = re.escape("".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130"))
+MARKS = re.escape(TAIL)
+LATIN = re.compile(f"[{LETTERS}]+")
+#: What stands between spaces or line ends; and that if it has other characters than letters and marks, else each run of either.
+UNITS = re.compile("[^ \n]+")
+PARTS = re.compile(f"[{LETTERS}{MARKS}]*+[^{LETTERS}{MARKS} \n][^ \n]*|[{LETTERS}]+|[{MARKS}]+")
+#: What most texts are without: other characters, and marks in front of anything but a space or a line's end.
+OTHER, INNER = re.compile(f"[^{LETTERS}{MARKS} \n]"), re.compile(f"[{MARKS}][^ \n]")
 
 
 # -- the code --------------------------------------------------------------------------------------------------
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of ranks below 2**32."""
-    r = np.ascontiguousarray(ranks, "<u4")
-    size = (1 + (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)).astype(np.uint8)
+    wide = 2 if len(ranks) and ranks.max() <= 0xFFFF else 4
+    r = np.ascontiguousarray(ranks, f"<u{wide}")
+    has = np.ones((len(r), wide), bool)
     codes = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    codes[: len(r)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    return control.tobytes(), r.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    for k in range(1, wide):
+        np.greater_equal(r, 1 << 8 * k, out=has[:, k])
+        codes[: len(r)] += has[:, k]
+    four = codes.view("<u4")
+    control = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8)
+    return control.tobytes(), r.view(np.uint8)[has.ravel()].tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The n ranks behind control and data bytes."""
-    size = LENGTHS[control].ravel()[:n]
-    at = np.cumsum(size) - size
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        has = np.flatnonzero(size > k) if k else slice(None)
+    return gathered(LENGTHS[control].ravel()[:n], data)
+
+
+def gathered(size: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The ranks of so many bytes each."""
+    at = np.cumsum(size, dtype=np.int64) - size
+    out = data[at].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        has = np.flatnonzero(size > k)
         out[has] |= data[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def documents(counts: np.ndarray, control: np.ndarray, data: np.ndarray):
+    """The ranks of each document of a block, in views of those that are decoded together."""
+    ends, places = np.cumsum(counts), np.cumsum(-(-counts // 4))
+    i = c = d = 0
+    while i < len(counts):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - counts[i] + TOGETHER, "right")))
+        size = LENGTHS[control[c : places[j - 1]]].ravel()
+        # a document's last control byte may stand for fewer than four ranks
+        n = counts[i:j]
+        spare = -n % 4
+        gaps = np.repeat(np.cumsum(n + spare) - spare, spare) + np.arange(spare.sum()) - np.repeat(np.cumsum(spare) - spare, spare)
+        real = np.ones(len(size), bool)
+        real[gaps] = False
+        size = size[real]
+        total = int(size.sum(dtype=np.int64))
+        ranks = gathered(size, data[d : d + total])
+        yield from np.split(ranks, np.cumsum(n)[:-1])
+        i, c, d = j, int(places[j - 1]), d + total
+
+
 # -- files -----------------------------------------------------------------------------------------------------
 def filesystem(path: str):
     from pyarrow import fs
@@ -92,9 +132,9 @@ def read_blocks(f):
 class Encoder:
     """The ids, as little-endian uint32, of texts under a tokenizer that drops white space and merges nothing across it.
 
-    What stands between spaces or line ends is encoded alone and looked up when it recurs. The tokenizer folds case and splits punctuation off
-    (which is probed first), so of a Latin word with a capital or with marks behind it the parts are looked up, and plain
-    letters go to the merges as the characters that stand for their bytes.
+    What stands between spaces or line ends is encoded alone and looked up when it recurs. The tokenizer folds case and splits letters from marks
+    (which is probed first), so what consists of Latin letters and marks alone is looked up by its runs of either, and
+    letters go to the merges, in lower case, as the characters that stand for their bytes.
     """
 
     def __init__(self, path: str):
@@ -103,30 +143,35 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known = Recent(self.unit, CACHE)
+        self.known = Recent(self.part, CACHE)
         self.model = self.tok.model
         self.chars = bytes_to_chars()
         # the tokenizer splits, folds and maps bytes as the short way assumes
-        self.plain = all(self.library(x) == self.merged(x) for x in ("thing", "éñß", "œuvre")) and self.library("Ab, É c!?") == b"".join(map(self.library, ("ab", ",", "é", "c", "!?"))) and all(self.library("x" + y) == self.library("x") + self.library(y) for y in (*TAIL, TAIL))
+        self.plain = all(self.library(x) == self.merged(x) for x in ("thing", "éñß", "œuvre")) and self.library("Ab, É c!?.d") == b"".join(map(self.library, ("ab", ",", "é", "c", "!?.", "d"))) and all(self.library("x" + y + "z") == b"".join(map(self.library, ("x", y, "z"))) for y in (*TAIL, TAIL))
 
     def library(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def merged(self, word: str) -> bytes:
         """The ids of a word of lower-case letters, which the tokenizer neither changes nor splits: the library's merges alone."""
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.chars))]).tobytes()
-
-    def unit(self, unit: str) -> bytes:
-        if self.plain and unit and max(unit) < "\u0250" and "\u0130" not in unit:  # Latin letters that have one letter in lower case
-            word = unit.rstrip(TAIL)
-            if word != unit and word.isalpha():
-                return self.known[word] + self.known[unit[len(word) :]]
-            if unit.isalpha():
-                return self.merged(unit) if (low := unit.lower()) == unit else self.known[low]
-        return self.library(unit)
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.chars))]).tobytes()
+
+    def part(self, part: str) -> bytes:
+        if self.plain and LATIN.fullmatch(part):
+            return self.merged(part) if (low := part.lower()) == part else self.known[low]
+        return self.library(part)
+
+    def parts(self, text: str) -> list[str]:
+        """What of a text is encoded alone; findall() takes several times as long as split()."""
+        if not self.plain or OTHER.search(text) or INNER.search(text):
+            return (PARTS if self.plain else UNITS).findall(text)
+        for mark in TAIL:
+            if mark in text:
+                text = text.replace(mark, f" {mark}")
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.known.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        return b"".join(map(self.known.__getitem__, self.parts(text or "")))
 
 
 def encoder(path: str) -> Encoder:
@@ -263,15 +308,11 @@ def scan(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 with store.open_input_stream(at) as f:
                     for keys, nulls, counts, control, data in read_blocks(f):
                         out: list[list] = [[] for _ in names]
-                        c = d = 0
-                        for key, null, n in zip(keys.tolist(), nulls.tolist(), counts.tolist(), strict=True):
-                            own = control[c : c + -(-n // 4)]
-                            size = int(LENGTHS[own].ravel()[:n].sum())
-                            ids = by_rank[unpack(own, data[d : d + size], n)]
-                            c, d = c + len(own), d + size
-                            for col, x in zip(out, (None if null else key, start, n, zlib.crc32(ids.tobytes()), ids), strict=False):
+                        for key, null, rows in zip(keys.tolist(), nulls.tolist(), documents(counts, control, data), strict=True):
+                            ids = by_rank[rows]
+                            for col, x in zip(out, (None if null else key, start, len(ids), zlib.crc32(ids), ids), strict=False):
                                 col.append(x)
-                            start += n
+                            start += len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
     files = placed.select("path", "base", "shard").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").select("path", "base")

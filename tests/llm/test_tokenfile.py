@@ -69,3 +69,22 @@ def test_coded_once(spark, tmp_path, monkeypatch):
     assert tf.write(df, f"{tmp_path}/t", PATH).count() > 0
     with open(log) as f:
         assert len(f.read()) == 50
+
+
+def test_letters_and_marks_are_looked_up_apart():
+    """A word is encoded once, whatever marks stand behind it; marks inside, and other characters, change no id."""
+    own, tok = tf.Encoder(PATH), Tokenizer.from_file(PATH)
+    own.encode("thing, thing. thing! thing\nthing?")
+    assert set(own.known) - {""} == {"thing", ",", ".", "!", "?"}
+    for t in ["a.b", "..a b..", "end.\n.start", "x,y z'.s's", "Éa.,b!? Ñ.9 a\tb. c", "a. <|endoftext|>. b", " . \n\n ,", "ab.日本,c d", "İ.i ,İ"]:
+        assert own.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_documents_of_a_block(monkeypatch):
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 1 << rng.integers(1, 32), n).astype(np.uint32) for n in (1, 0, 3, 4, 5, 100, 2, 8, 0, 7)]
+    packed = [tf.pack(d) for d in docs]
+    for most in (1, 8, 1000):
+        monkeypatch.setattr(tf, "TOGETHER", most)
+        got = list(tf.documents(np.array([len(d) for d in docs]), *(np.frombuffer(b"".join(x), "u1") for x in zip(*packed, strict=True))))
+        assert [x.tolist() for x in got] == [d.tolist() for d in docs]
