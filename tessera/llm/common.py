@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +35,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Seconds that release() waits for Py4J's queue at most.
+QUEUED = 5
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files and checkpoints of finished steps now, instead of when the driver happens to collect its garbage."""
+    """Let Spark's cleaner remove shuffle files and checkpoints of finished steps now, instead of when the driver happens to collect its garbage.
+
+    Py4J queues what Python has dropped and tells the JVM up to a second later; a collection before that would find it all still held.
+    """
     gc.collect()
+    queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)  # without one the JVM knows already
+    until = time.monotonic() + QUEUED
+    while queue and time.monotonic() < until:
+        time.sleep(0.02)
+    time.sleep(0.02)  # the last one is on its way
     spark.sparkContext._jvm.System.gc()
 
 

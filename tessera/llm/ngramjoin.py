@@ -289,22 +289,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     # equal sets: one row, the node, stands for all
     heads = base.where("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("row", "id")).alias("x"))
     heads = cut(heads.select("digest", F.col("x.row").alias("node"), F.col("x.id").alias("id")))
-    firsts = base.withColumnRenamed("row", "node").join(heads.select("node"), "node", "left_semi")
     # a set that may not differ at all is linked by its digest already
-    firsts = firsts.where(f"{den} * n - {num} * n >= {den} or (n * {den}) div {num} > n")
+    differ = f"{den} * n - {num} * n >= {den} or (n * {den}) div {num} > n"
+    firsts = cut(base.withColumnRenamed("row", "node").join(heads.select("node"), "node", "left_semi").where(differ).select("node", "n", "first"))
+    base = cut(base.drop("first"))  # here and below a copy without the arrays takes the place of the one with them, which goes at the next release
+    release(spark)
     counts = firsts.select(F.explode("first").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT)
     late = broadcast(np.sort(counts.orderBy(F.desc("c"), "token").limit(LISTED).toArrow().column("token").to_numpy()))
     release(spark)
     entries = cut(index_of_first(firsts, num, den, late))
+    del firsts, counts
     if not (long := cut(entries.where("keys is null").select("node"))).isEmpty():
         # where frequent tokens fill the beginning, the whole text is read again
         again = index_of_sets(whole_sets(known, long, heads, id_col, text_col, size, held), num, den, late)
+        release(spark)
         entries = cut(entries.where("keys is not null").unionByName(again))
+        del again
     release(spark)
     posted = entries.select("node", "rare", F.explode("keys").alias("key"))
     shared = cut(posted.join(posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key"))  # most keys stand alone and go by few bytes
+    entries = cut(entries.drop("keys"))
+    del posted
     release(spark)
     live = cut(shared.join(one_key(shared), "key").select("key", "node", "lead", "rares"))
+    del shared
     # of a pair, the set whose prefix ends first holds none of its own rare tokens in common with the other: that bounds the other's size
     met = live.groupBy("node").agg(F.sum("rares").alias("met"))
     about = base.withColumnRenamed("row", "node").select("node", "n", *MAPS).join(entries.select("node", "rare", "last"), "node").join(met, "node", "left")
@@ -325,7 +333,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     homed = live.drop("lead", "rares").join(homes, "node")
     mixed = homed.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("key")
     crossed = crossing(cut(homed.join(mixed, "key", "left_semi")), about, may).distinct()
-    del homed, mixed, stars, hopeful, posted, shared
+    del homed, mixed, stars, hopeful
     more = verified(crossed, known, *how)
     release(spark)
     members = base.where("n > 0 and id is not null").join(heads.select("digest", F.col("id").alias("head")), "digest").select(F.col("id").alias("a"), F.col("head").alias("b"))

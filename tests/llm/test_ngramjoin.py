@@ -163,3 +163,39 @@ def test_pairs_are_made_once(spark):
     about = spark.createDataFrame([(node, node) for node in range(10)], "node long, n long")
     made = sorted(map(tuple, ngramjoin.crossing(spark.createDataFrame(held, "key long, node long, home long"), about, F.col("a_n") < F.col("b_n")).collect()))
     assert made == [(a, b) for a in range(4) for b in range(a + 1, 4)] + [(8, 9)]
+
+
+def rdd_of(df):
+    """A weak reference to what the JVM holds of a cut; its files go with it."""
+    return df.sparkSession.sparkContext._jvm.java.lang.ref.WeakReference(df._jdf.queryExecution().logical().rdd())
+
+
+def test_release_finds_what_was_just_dropped(spark):
+    df = common.cut(spark.range(100))
+    ref = rdd_of(df)
+    assert ref.get() is not None
+    del df
+    common.release(spark)
+    assert ref.get() is None
+
+
+def test_arrays_go_once_read(spark, monkeypatch):
+    """No cut with first tokens or keys is left on disk when pairs are verified."""
+    monkeypatch.setattr(ngramjoin, "FREQUENT", 2)
+    held, left, verified = [], [], ngramjoin.verified
+
+    def cut(df):
+        out = common.cut(df)
+        if {"first", "keys"} & set(df.columns):
+            held.append(rdd_of(out))
+        return out
+
+    def seen(*how):
+        left.append(sum(r.get() is not None for r in held))
+        return verified(*how)
+
+    monkeypatch.setattr(ngramjoin, "cut", cut)
+    monkeypatch.setattr(ngramjoin, "verified", seen)
+    rows = corpus(4, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 90, 100) and held and left == [0, 0]
