@@ -80,3 +80,12 @@ def test_resolve_makes_no_pairs(spark):
     symbols = spark.range(3000).selectExpr("id", "'f' as name", "'m/x' as path", "'A' as owner", "true as exported")
     got, most = most_rows(spark, lambda: derive.resolve(refs, symbols).select("dst", "candidates").distinct())
     assert got == [(0, 3000)] and most <= 12_000
+
+
+def test_bind_imports_makes_no_pairs(spark):
+    """1,000 imports of a name that 1,000 symbols of a file have, and of one that has one."""
+    files = spark.createDataFrame([("m/1.py",)], "path string")
+    symbols = spark.range(1000).selectExpr("id", "case when id < 999 then 'f' else 'g' end as name", "'m/1.py' as path")
+    imports = spark.range(1000).selectExpr("id as ref_id", "concat('m/x', id) as from_path", "'1' as name", "case when id < 998 then 'f' else 'g' end as symbol", "cast(null as string) as alias")
+    got, most = most_rows(spark, lambda: derive.bind_imports(imports, symbols, files))
+    assert got == [("m/x998", "g", 999), ("m/x999", "g", 999)] and most <= 15_000
