@@ -5,27 +5,59 @@ from __future__ import annotations
 import re
 import re._parser as sre
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of a matching line that are shown.
 SHOWN = 200
 
 
 # -- trigrams ------------------------------------------------------------------------------------------------------
-def trigrams(files: DataFrame) -> DataFrame:
-    """(file_id, tri, mask) of texts (file_id, text): distinct runs of three bytes, with a bit for each residue modulo 8 of a byte that follows."""
-    # bytes stand in an array: a place in a long string is found only by walking to it
-    pairs = F.expr("regexp_extract_all(hex(encode(text, 'utf-8')), '..', 0)")
-    held = F.transform(F.array(F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))), lambda b: F.transform(
-        F.slice(b, F.lit(1), F.greatest(F.size(b) - 2, F.lit(0))),
-        lambda x, i: F.struct(
-            (x * 65536 + F.get(b, i + 1) * 256 + F.get(b, i + 2)).alias("tri"),
-            F.coalesce(F.call_function("shiftleft", F.lit(1), F.get(b, i + 3) % 8), F.lit(0)).alias("bit"),
-        ),
-    ))
-    each = files.select("file_id", F.explode(held[0]).alias("x"))
-    return each.groupBy("file_id", F.col("x.tri").alias("tri")).agg(F.bit_or("x.bit").alias("mask"))
+def trigrams(files: DataFrame, only: set[int] | None = None) -> DataFrame:
+    """(file_id, tri, mask) of texts (file_id, text): distinct runs of three bytes, with a bit for each residue modulo 8 of a byte that follows.
+
+    With ``only`` the index holds those trigrams and no others, of every text.
+    """
+
+    def run(batches):
+        wanted = None
+        if only is not None:
+            wanted = np.zeros(1 << 24, bool)
+            wanted[list(only)] = True
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                rows = whole.slice(start, 256)
+                at, tris, masks = [], [], []
+                for i, raw in enumerate(rows.column(1).cast(pa.binary()).to_pylist()):
+                    if raw is None or len(raw) < 3:
+                        continue
+                    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+                    tri = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+                    bit = np.append(np.uint32(1) << b[3:] % 8, np.uint32(0))  # nothing follows the last
+                    if wanted is not None:
+                        here = np.flatnonzero(wanted[tri])
+                        tri, bit = tri[here], bit[here]
+                    both = np.unique(tri << 8 | bit)  # 24 and 8 bits
+                    held, first = np.unique(both >> 8, return_index=True)
+                    if len(held):
+                        at.append(np.full(len(held), i))
+                        tris.append(held.astype(np.int32))
+                        masks.append(np.bitwise_or.reduceat(both & 255, first).astype(np.int32))
+                if at:
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(tris)), pa.array(np.concatenate(masks))], names=["file_id", "tri", "mask"])
+
+    kind = T.StructType([T.StructField("file_id", files.schema["file_id"].dataType), T.StructField("tri", T.IntegerType()), T.StructField("mask", T.IntegerType())])
+    # rows may share a file_id
+    return files.select("file_id", "text").mapInArrow(run, kind).groupBy("file_id", "tri").agg(F.bit_or("mask").alias("mask"))
+
+
+def asked(pattern: str) -> set[int] | None:
+    """The trigrams that candidates() looks for; None if the index can't tell."""
+    every = [plan(literals) for literals in branches(pattern)]
+    return None if None in every else {t for terms in every for t in terms}
 
 
 def plan(literals: list[str]) -> dict[int, int] | None:
