@@ -76,11 +76,12 @@ def postings(docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, query: str, admitted: DataFrame | None = None) -> DataFrame:
     """(id, score): with two or more distinct query tokens, a document must hold two of them.
 
-    One pass counts documents, lengths and frequencies; only the query's tokens are exploded.
+    One pass reads the texts and keeps of each its length and the query's tokens in it; all else counts on what is kept.
     """
     want = sorted(set(query_tokens(query)))
-    own = docs.select("id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    sized = own.select("id", F.least(F.size("t"), F.lit(SATURATED)).alias("dl"), F.filter("t", lambda x: x.isin(*want)).alias("hit") if want else F.array().cast("array<string>").alias("hit"))
+    own = docs.select("id", tokens(F.col("text")).alias("t"))
+    # a filter on what tokens() gives would be pushed below it and have every text cut twice
+    sized = cut(own.select("id", F.least(F.size("t"), F.lit(SATURATED)).alias("dl"), F.filter("t", lambda x: x.isin(*want)).alias("hit") if want else F.array().cast("array<string>").alias("hit"))).where("dl > 0")
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     tf = sized.where(F.size("hit") > 0).select("id", "dl", F.explode("hit").alias("token")).groupBy("id", "dl", "token").agg(F.least(F.count(F.lit(1)), F.lit(SATURATED)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # a row a query token

@@ -1,10 +1,13 @@
 """Work and memory grow as the input where a key, a text or a set of queries is large, and results stay those of a plain version."""
 
 import random
+import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import derive
+from tessera.operators import derive, search, textsearch
 
 
 def rows(df):
@@ -89,3 +92,42 @@ def test_bind_imports_makes_no_pairs(spark):
     imports = spark.range(1000).selectExpr("id as ref_id", "concat('m/x', id) as from_path", "'1' as name", "case when id < 998 then 'f' else 'g' end as symbol", "cast(null as string) as alias")
     got, most = most_rows(spark, lambda: derive.bind_imports(imports, symbols, files))
     assert got == [("m/x998", "g", 999), ("m/x999", "g", 999)] and most <= 15_000
+
+
+def timed(make):
+    """The rows of make() and the seconds of its second run."""
+    make().collect()
+    began = time.time()
+    return make().collect(), time.time() - began
+
+
+def test_sketches_are_linear_in_a_text(spark):
+    """A text of 60,000 tokens: its shingles are cut once, not from a copy of all tokens each. An id that two rows share has its shingles once."""
+    long = spark.sql("select 1L as id, transform(sequence(1, 60000), i -> concat('w', i)) as tokens")
+    got, seconds = timed(lambda: derive.sketches(long))
+    assert [(r["id"], r["shingles"], len(r["sketch"])) for r in got] == [(1, 59998, 64)] and seconds < 10
+    two = spark.sql("select id % 2 as id, transform(sequence(1, 40 + 10 * (cast(id as int) div 2)), i -> concat('w', i)) as tokens from range(4)")
+    assert sorted((r["id"], r["shingles"]) for r in derive.sketches(two).collect()) == [(0, 48), (1, 48)]
+
+
+def test_trigrams_of_few(spark):
+    """An index of some trigrams is that part of the whole index, rows of one id together."""
+    texts = ["the right of", "rigrigh", "éà right", "ri", "", None, "ght" * 50]
+    files = spark.createDataFrame([(k % 6, t) for k, t in enumerate(texts)], "file_id bigint, text string")
+    few = textsearch.asked("right|the")
+    assert few == {int.from_bytes(x, "big") for x in (b"rig", b"igh", b"ght", b"the")} and textsearch.asked("r.") is None
+    want = {}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        for i in range(len(raw) - 2):
+            key = k % 6, int.from_bytes(raw[i : i + 3], "big")
+            want[key] = want.get(key, 0) | (1 << raw[i + 3] % 8 if i + 3 < len(raw) else 0)
+    assert rows(textsearch.trigrams(files)) == sorted(((*k, m) for k, m in want.items()), key=repr)
+    assert rows(textsearch.trigrams(files, few)) == sorted(((*k, m) for k, m in want.items() if k[1] in few), key=repr)
+
+
+def test_bm25_reads_a_text_once(spark):
+    """What is planned after the texts were cut into tokens holds no regular expression."""
+    docs = spark.createDataFrame([(k, "the and " * (k % 5) + f"w{k}") for k in range(50)], "id bigint, text string")
+    df = search.bm25(docs, "the and")
+    assert not re.search("regexp_replace", df._jdf.queryExecution().toString()) and df.count() == 40
