@@ -5,9 +5,10 @@ import re
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
-from tessera.operators import derive, search, textsearch
+from tessera.catalog import Graph, degrees
+from tessera.operators import derive, neighbors, search, textsearch, verbs
+from tessera.plans import spread
 
 
 def rows(df):
@@ -131,3 +132,26 @@ def test_bm25_reads_a_text_once(spark):
     docs = spark.createDataFrame([(k, "the and " * (k % 5) + f"w{k}") for k in range(50)], "id bigint, text string")
     df = search.bm25(docs, "the and")
     assert not re.search("regexp_replace", df._jdf.queryExecution().toString()) and df.count() == 40
+
+
+def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """Groupings of edges have partitions by the bytes that are read, however few the session has, and the same rows."""
+    edges = spark.range(20_000).selectExpr("id % 3000 as src", "id % 1100 as dst", "case when id % 2 = 0 then 'calls' else 'imports' end as rel", "90 as confidence")
+    edges.repartition(2).write.parquet(f"{tmp_path}/e")
+    nodes = spark.range(3000).selectExpr("id", "'function' as kind", "concat('f', id) as name", "'p' as path", "cast(null as string) as signature", "true as exported")
+    g = Graph(nodes, spark.read.parquet(f"{tmp_path}/e"))
+    asked = {
+        "degrees": lambda: degrees(g.edges),
+        "importers": lambda: neighbors.related(g, "importers", g.nodes),
+        "steps": lambda: g.query("MATCH (x)-[:calls|imports]->(p) RETURN p.id AS p, count(*) AS n"),
+        "hubs": lambda: verbs.hubs(g, 25),
+    }
+    before = {k: rows(f()) for k, f in asked.items()}
+    size = spread.stored_bytes(g.edges)
+    assert spread.stored_bytes(nodes) == 0 or spread.spread(nodes, "id").rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(spread, "PART", -(-size // 23))
+    for k, f in asked.items():
+        df = f()
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString() and rows(df) == before[k], k
+    assert spread.spread(g.edges, "src").rdd.getNumPartitions() == 23
+    assert sum(r[1] for r in before["degrees"]) == 20_000 and before["hubs"][0][2] >= 18
