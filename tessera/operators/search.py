@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences, tokens
-from ..plans.lineage import cut
+from ..plans.lineage import cut, shared_dir
 
 # Of BM25, of fusion, of the lexical embedding.
 K1, B, SATURATED, RRF_K, POOL = 1.2, 0.75, 255, 60, 50
@@ -132,52 +133,72 @@ def node_tokens(nodes: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:
-    """(query, id, dist, rank): the k nearest vectors (id, vec) of every query (query, vec) by squared distance, ties by id.
+    """(query, id, dist, rank): the k nearest vectors (id, vec) of every query (query, vec) by squared distance to nine places, ties by id.
 
-    Queries are compared block by block: a task holds one block of BLOCK queries, streams its vectors past it and keeps k a query; the best of
-    all tasks are found by a window per query. Blocks are ranges of a query's rank, so their number grows with the queries.
+    All are compared with all, block by block: a block of about BLOCK queries is sent to the tasks, each streams its vectors past it and keeps k a
+    query, and the best of all tasks are written to the shared folder before the next block is sent. So no more than one block is held anywhere,
+    and neither plan nor workers grow with the queries; the work is queries times vectors.
     """
     spark = vectors.sparkSession
-    asked = cut(queries.select("query", "vec"))
+    asked = cut(queries.select("query", "vec").where("vec is not null"))
     blocks = max(1, -(-asked.count() // BLOCK))
     placed = cut(asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))))
-    out = None
+    own = cut(vectors.select("id", "vec").where("vec is not null")) if blocks > 1 else vectors.select("id", "vec").where("vec is not null")
+    # each task gives k rows a query: few tasks, however many files there are
+    own = own.coalesce(2 * spark.sparkContext.defaultParallelism)
+    folder = f"{shared_dir(spark).rstrip('/')}/nearest-{uuid.uuid4().hex}"
     for block in range(blocks):
         held = placed.where(F.col("block") == block).select("query", "vec").toArrow()  # about BLOCK rows
-        if not held.num_rows:
-            continue
-        ids = held.column("query").to_numpy()
-        q = np.array(held.column("vec").to_pylist(), np.float64)
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches, sent=sent):
-            ids, q = sent.value
-            norms = (q * q).sum(1)[:, None]
-            dist, found = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
-            for b in batches:
-                for at in range(0, b.num_rows, 2048):
-                    c = b.slice(at, 2048)
-                    own, x = np.asarray(c.column(0)), np.array(c.column(1).to_pylist(), np.float64).reshape(c.num_rows, -1)
-                    if not len(own):
-                        continue
-                    d = norms - 2 * q @ x.T + (x * x).sum(1)[None, :]
-                    if exclude_self:
-                        d[ids[:, None] == own[None, :]] = np.inf
-                    dist, found = np.concatenate([dist, d], 1), np.concatenate([found, np.broadcast_to(own, d.shape)], 1)
-                    # a few more than k, for the exact distances decide
-                    best = np.lexsort((found, dist), axis=1)[:, : k + 4]
-                    dist, found = np.take_along_axis(dist, best, 1), np.take_along_axis(found, best, 1)
-            r, c = np.nonzero(np.isfinite(dist))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(found[r, c])], names=["query", "id"])
-
-        part = vectors.select("id", "vec").where("vec is not null").mapInArrow(run, "query long, id long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query bigint, id bigint, dist double, rank int")
-    near = out.join(asked.withColumnRenamed("vec", "q"), "query").join(vectors.select("id", "vec"), "id")
-    dist = F.aggregate(F.zip_with("q", "vec", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
-    order = Window.partitionBy("query").orderBy("dist", "id")
-    return near.select("query", "id", F.round(dist, 9).alias("dist")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        sent = spark.sparkContext.broadcast((held.column("query").to_numpy(), matrix(held.column("vec").combine_chunks())))
+        best = own.mapInArrow(lambda batches, sent=sent: nearest_of(batches, *sent.value, k, exclude_self), "query bigint, id bigint, dist double")
+        order = Window.partitionBy("query").orderBy("dist", "id")
+        best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).write.mode("append").parquet(folder)
+        sent.destroy()
+    return spark.read.schema("query bigint, id bigint, dist double, rank int").parquet(folder)
+
+
+def matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors as the rows of a matrix."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), len(flat) // max(len(lists), 1))
+
+
+def nearest_of(batches, ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool):
+    """(query, id, dist) of the k nearest of the batches (id, vec), for queries ids with vectors q.
+
+    Distances by products of matrices only sort out what is farther than the k-th so far; those that may count are computed from differences.
+    """
+    norms = (q * q).sum(1)[:, None]
+    worst = np.full(len(q), np.inf)
+    at, found, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for whole in batches:
+        for start in range(0, whole.num_rows, 1024):
+            c = whole.slice(start, 1024)
+            own, x = c.column(0).to_numpy(), matrix(c.column(1))
+            if not len(own) or not len(q):
+                continue
+            square = (x * x).sum(1)[None, :]
+            d = square - 2 * (q @ x.T)
+            d += norms
+            # what rounding may hide: of the products, and of the ninth place
+            slack = 1e-12 * (norms + square.max()) + 2e-9
+            if exclude_self:
+                d[ids[:, None] == own[None, :]] = np.inf
+            if len(own) > k:
+                limit = np.minimum(worst, np.partition(d, k - 1, axis=1)[:, k - 1])[:, None] + slack
+            else:
+                limit = worst[:, None] + slack
+            r, i = np.nonzero((d <= limit) & np.isfinite(d))
+            exact = np.concatenate([np.zeros(0), *[np.round(((q[r[j : j + 65536]] - x[i[j : j + 65536]]) ** 2).sum(1), 9) for j in range(0, len(r), 65536)]])
+            at, found, dist = np.concatenate([at, r]), np.concatenate([found, own[i]]), np.concatenate([dist, exact])
+            order = np.lexsort((found, dist, at))
+            at, found, dist = at[order], found[order], dist[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            stay = place < k
+            last = place == k - 1
+            worst[at[last]] = dist[last]
+            at, found, dist = at[stay], found[stay], dist[stay]
+    yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(found, pa.int64()), pa.array(dist, pa.float64())], names=["query", "id", "dist"])
 
 
 def sign_bits(vectors: DataFrame) -> DataFrame:

@@ -155,3 +155,21 @@ def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
         assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString() and rows(df) == before[k], k
     assert spread.spread(g.edges, "src").rdd.getNumPartitions() == 23
     assert sum(r[1] for r in before["degrees"]) == 20_000 and before["hubs"][0][2] >= 18
+
+
+def test_nearest_holds_one_block(spark, monkeypatch):
+    """Several blocks give what one gives and what all pairs give, with far more ties than k; the plan doesn't grow with the blocks."""
+    rng = random.Random(3)
+    some = [[float(rng.randrange(3)) for _ in range(4)] for _ in range(30)]
+    vecs = {k: some[k % 30] if k % 4 else [1.0, 1.0, 1.0, 1.0] for k in range(300)}
+    v = spark.createDataFrame(list(vecs.items()), "id bigint, vec array<float>")
+    queries = v.where("id % 3 = 0").selectExpr("id as query", "vec")
+    want = []
+    for a in range(0, 300, 3):
+        near = sorted((sum((x - y) ** 2 for x, y in zip(vecs[a], vecs[b], strict=True)), b) for b in vecs if b != a)[:5]
+        want += [(a, b, d, r + 1) for r, (d, b) in enumerate(near)]
+    one = search.nearest(v, queries, 5)
+    monkeypatch.setattr(search, "BLOCK", 16)
+    many = search.nearest(v, queries, 5)
+    assert rows(one) == rows(many) == sorted(want, key=repr)
+    assert many._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
