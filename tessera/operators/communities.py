@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +12,6 @@ from pyspark.sql import functions as F
 from ..catalog import Graph
 from ..plans.lineage import cut
 
-
 #: Edges, of those left after trimming, that one task may hold.
 ONE_TASK = 2_000_000
 
@@ -117,61 +119,75 @@ def louvain(edges: list[tuple[int, int, int]], sweeps: int = 12, levels: int = 8
 
     Of the partitions that the levels give, a node takes the coarsest whose community has at most cap nodes.
     """
-    nodes = sorted({x for a, b, _ in edges for x in (a, b)})
-    home = {n: n for n in nodes}  # community at the current level, of each original node
-    chosen = dict(home)
-    links: dict[int, dict[int, int]] = {n: {} for n in nodes}
-    loops = dict.fromkeys(nodes, 0)
-    for a, b, w in edges:
-        if a == b:
-            loops[a] += w
-        else:
-            links[a][b] = links[a].get(b, 0) + w
-            links[b][a] = links[b].get(a, 0) + w
-    total = sum(loops.values()) * 2 + sum(sum(v.values()) for v in links.values())
+    a, b, w = np.array(edges, np.int64).reshape(-1, 3).T
+    nodes, chosen = louvain_of(a, b, w, sweeps, levels, cap)
+    return dict(zip(nodes.tolist(), chosen.tolist(), strict=True))
+
+
+def added_up(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b) in order, each once, with their weights added up."""
+    order = np.lexsort((b, a))
+    a, b, w = a[order], b[order], w[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(a), 1), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[first], b[first], np.add.reduceat(w, first) if len(first) else w
+
+
+def louvain_of(a: np.ndarray, b: np.ndarray, w: np.ndarray, sweeps: int = 12, levels: int = 8, cap: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """louvain() of columns: nodes and their communities. Nodes are numbered by their ids' order, and all that is held of a node or a link stands in arrays."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    size = len(nodes)
+    loops = np.zeros(size, np.int64)
+    np.add.at(loops, a[a == b], w[a == b])
+    other = a != b
+    src, dst, weights = added_up(np.concatenate([a[other], b[other]]), np.concatenate([b[other], a[other]]), np.concatenate([w[other], w[other]]))
+    del a, b, w, ends, other
+    total = int(loops.sum()) * 2 + int(weights.sum())
+    home, chosen = np.arange(size), np.arange(size)  # of each original node, the number of a node now
+    first_of = np.arange(size)  # the smallest original node of a node now
     for _ in range(levels):
-        weight = {n: sum(links[n].values()) + 2 * loops[n] for n in links}
-        where = {n: n for n in links}
-        mass = dict(weight)
+        n = len(first_of)
+        start = array("q", np.searchsorted(src, np.arange(n + 1)).tobytes())
+        degree = 2 * loops
+        np.add.at(degree, src, weights)
+        weight, where, mass = array("q", degree.tobytes()), array("q", np.arange(n).tobytes()), array("q", degree.tobytes())
         for _ in range(sweeps):
             moved = False
-            for n in sorted(links):
-                own = where[n]
-                mass[own] -= weight[n]
-                to: dict[int, int] = {own: 0}
-                for m, w in links[n].items():
-                    to[where[m]] = to.get(where[m], 0) + w
+            for i in range(n):
+                own, mine = where[i], weight[i]
+                mass[own] -= mine
+                to = {own: 0}
+                x, y = start[i], start[i + 1]
+                for m, v in zip(dst[x:y].tolist(), weights[x:y].tolist(), strict=True):
+                    c = where[m]
+                    to[c] = to.get(c, 0) + v
                 # twice the gain in modularity, in integers: edges into a community against the chance of them
-                best = max(sorted(to), key=lambda c: (to[c] * total - weight[n] * mass[c], c == own))
-                where[n] = best
-                mass[best] += weight[n]
+                best = max(sorted(to), key=lambda c: (to[c] * total - mine * mass[c], c == own))
+                where[i] = best
+                mass[best] += mine
                 moved |= best != own
             if not moved:
                 break
-        if all(n == c for n, c in where.items()):
+        joined = np.frombuffer(where, np.int64)
+        if (joined == np.arange(n)).all():
             break
-        first: dict[int, int] = {}
-        for n in sorted(where):
-            first.setdefault(where[n], n)  # a community goes by its smallest member
-        where = {n: first[c] for n, c in where.items()}
-        home = {n: where[c] for n, c in home.items()}
-        size: dict[int, int] = {}
-        for c in home.values():
-            size[c] = size.get(c, 0) + 1
-        for n, c in home.items():
-            if size[c] <= cap:
-                chosen[n] = c
-        merged: dict[int, dict[int, int]] = {c: {} for c in where.values()}
-        loop = dict.fromkeys(merged, 0)
-        for n, v in links.items():
-            loop[where[n]] += loops[n]
-            for m, w in v.items():
-                if where[m] == where[n]:
-                    loop[where[n]] += w if n < m else 0
-                else:
-                    merged[where[n]][where[m]] = merged[where[n]].get(where[m], 0) + w
-        links, loops = merged, loop
-    return chosen
+        # a community goes by its smallest member, and communities are numbered in that order
+        _, first, same = np.unique(joined, return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        joined = rank[same]
+        first_of = first_of[first[order]]
+        home = joined[home]
+        small = np.bincount(home, minlength=len(first_of))[home] <= cap
+        chosen[small] = first_of[home[small]]
+        kept = np.zeros(len(first_of), np.int64)
+        np.add.at(kept, joined, loops)
+        x, y = joined[src], joined[dst]
+        np.add.at(kept, x[(x == y) & (src < dst)], weights[(x == y) & (src < dst)])
+        loops = kept
+        src, dst, weights = added_up(x[x != y], y[x != y], weights[x != y])
+    return nodes, nodes[chosen]
 
 
 def undirected(graph: Graph, relations) -> DataFrame:
@@ -193,8 +209,8 @@ def communities(graph: Graph, relations=("calls",), cap: int = 512) -> DataFrame
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = louvain(list(zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["w"].tolist(), strict=True)), cap=cap)
-        return pd.DataFrame({"id": list(found), "community": list(found.values())})
+        nodes, found = louvain_of(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["w"].to_numpy(), cap=cap)
+        return pd.DataFrame({"id": nodes, "community": found})
 
     found = undirected(graph, relations).groupBy((F.col("a") * 0).alias("all")).applyInPandas(run, "id long, community long")
     return graph.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))

@@ -3,11 +3,13 @@
 import random
 import re
 import time
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from tessera.catalog import Graph, degrees
-from tessera.operators import derive, neighbors, search, textsearch, verbs
+from tessera.operators import communities, derive, neighbors, search, textsearch, verbs
 from tessera.plans import spread
 
 
@@ -173,3 +175,17 @@ def test_nearest_holds_one_block(spark, monkeypatch):
     many = search.nearest(v, queries, 5)
     assert rows(one) == rows(many) == sorted(want, key=repr)
     assert many._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def test_louvain_holds_arrays():
+    """A ring of tens and its chords: the same communities as from tuples, in under 250 bytes of an edge beside the columns."""
+    k = np.arange(20_000)
+    a, b = np.concatenate([k, k[:-10]]), np.concatenate([k // 10 * 10 + (k + 1) % 10, k[10:]])
+    w = np.ones(len(a), np.int64)
+    tracemalloc.start()
+    nodes, found = communities.louvain_of(a, b, w)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 250 * len(a)
+    assert communities.louvain(list(zip(a.tolist(), b.tolist(), w.tolist(), strict=True))) == dict(zip(nodes.tolist(), found.tolist(), strict=True))
+    assert communities.louvain([]) == {} and communities.louvain([(7, 7, 2), (3, 9, 1)]) == {3: 3, 7: 7, 9: 3}
