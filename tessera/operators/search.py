@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import occurrences, tokens
 from ..plans.lineage import cut, shared_dir
+from ..plans.spread import spread
 
 # Of BM25, of fusion, of the lexical embedding.
 K1, B, SATURATED, RRF_K, POOL = 1.2, 0.75, 255, 60, 50
@@ -20,6 +22,8 @@ DIMENSIONS, FNV_START, FNV_PRIME, GOLDEN = 256, 0xCBF29CE484222325, 0x100000001B
 CHANNELS = ("name", "vector", "graph", "bm25", "dense", "body")
 #: Queries that are compared at once: a block of them is what a task holds beside its batch.
 BLOCK = 4096
+#: Pairs that a task holds at once, 16 bytes each and twice as much again while they are added up.
+KEPT_PAIRS = 4_000_000
 
 
 def query_tokens(query: str) -> list[str]:
@@ -354,25 +358,114 @@ def self_probes(nodes: DataFrame, n: int = 512, seed: int = 17) -> DataFrame:
 
 
 # -- learned vectors -----------------------------------------------------------------------------------------------
+def known_words(docs: DataFrame, least: int) -> list[str]:
+    """The tokens of (tokens) that are seen ``least`` times or more, in order. The driver holds them, and each task that numbers tokens."""
+
+    def run(batches):
+        seen: Counter = Counter()
+        for whole in batches:
+            for c in whole.column(0).flatten().value_counts():
+                seen[c["values"].as_py()] += c["counts"].as_py()
+            if len(seen) > KEPT_PAIRS // 8:
+                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["w", "n"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["w", "n"])
+
+    counts = docs.select("tokens").mapInArrow(run, "w string, n bigint").where("w is not null").groupBy("w").agg(F.sum("n").alias("n"))
+    return sorted(counts.where(F.col("n") >= least).select("w").toArrow().column(0).to_pylist())
+
+
+def coded_pairs(docs: DataFrame, words, window: int) -> DataFrame:
+    """(key, n) of unordered pairs of known words at most ``window`` apart: the smaller number in the key's upper 32 bits. words: broadcast list.
+
+    A task adds up its pairs, KEPT_PAIRS of them at once, and what the tasks found is added up after that.
+    """
+
+    def run(batches):
+        number = {w: i for i, w in enumerate(words.value)}
+        keys, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def merged():
+            k, n = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(k, kind="stable")
+            k, n = k[order], n[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]))
+            return k[first], np.add.reduceat(n, first) if len(first) else n
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                lists = whole.column(0).slice(start, 1024)
+                flat = lists.flatten().dictionary_encode()
+                own = np.array([number.get(w, -1) for w in flat.dictionary.to_pylist()] + [-1], np.int64)
+                code = own[flat.indices.fill_null(-1).to_numpy(zero_copy_only=False)]  # the last is that of nulls
+                text = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                made = []
+                for d in range(1, window + 1):
+                    a, b = code[:-d], code[d:]
+                    stay = (text[:-d] == text[d:]) & (a >= 0) & (b >= 0)
+                    a, b = a[stay], b[stay]
+                    made.append(np.minimum(a, b) << 32 | np.maximum(a, b))
+                k, n = np.unique(np.concatenate(made), return_counts=True)
+                keys.append(k)
+                counts.append(n)
+                held += len(k)
+                if held > KEPT_PAIRS:
+                    k, n = merged()
+                    keys[:], counts[:], held = [k], [n], len(k)
+                    if held > KEPT_PAIRS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
+                        keys[:], counts[:], held = [k[:0]], [n[:0]], 0
+        k, n = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
+
+    return cut(spread(docs.select("tokens").mapInArrow(run, "key bigint, n bigint"), "key").groupBy("key").agg(F.sum("n").alias("n")))
+
+
+def both_ways(coded: DataFrame, words, value, name: str) -> DataFrame:
+    """(a, b, name) of coded pairs in both orders; value(a, b, n) gives the columns of numbers, NaN for rows that are left out."""
+
+    def run(batches):
+        known = pa.array(words.value, pa.string())
+        for whole in batches:
+            key, n = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            x, y, turned = key >> 32, key & 0xFFFFFFFF, key >> 32 != key & 0xFFFFFFFF
+            n = np.where(turned, n, 2 * n)  # a word beside itself stands in both orders
+            a, b = np.concatenate([x, y[turned]]), np.concatenate([y, x[turned]])
+            v = value(a, b, np.concatenate([n, n[turned]]))
+            stay = np.flatnonzero(~np.isnan(v))
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(a[stay])), known.take(pa.array(b[stay])), pa.array(v[stay])], names=["a", "b", name])
+
+    kind = "double" if name == "ppmi" else "bigint"
+    return coded.mapInArrow(run, f"a string, b string, {name} {kind}")
+
+
 def cooccurrences(docs: DataFrame, window: int = 2, least: int = 5) -> DataFrame:
     """(a, b, n): ordered pairs of tokens at most ``window`` apart in (id, tokens), of tokens seen ``least`` times or more."""
-    counts = docs.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("t")
+    words = docs.sparkSession.sparkContext.broadcast(known_words(docs, least))
+    return both_ways(coded_pairs(docs, words, window), words, lambda a, b, n: n, "n")
+
+
+def word_ppmi(docs: DataFrame, window: int = 2, least: int = 5, alpha: float = 0.75) -> DataFrame:
+    """ppmi() of cooccurrences(): pairs stay numbers until they are written. The driver and each task hold the words and their counts."""
+    words = docs.sparkSession.sparkContext.broadcast(known_words(docs, least))
+    coded = coded_pairs(docs, words, window)
+    ends = coded.select("n", F.explode(F.array(F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF))).alias("i")).groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    na = np.zeros(len(words.value), np.float64)
+    na[ends.column("i").to_numpy()] = ends.column("n").to_numpy()
+    share, context = na / max(na.sum(), 1), na**alpha / max((na[na > 0] ** alpha).sum(), 1)
+    sent = docs.sparkSession.sparkContext.broadcast((share, context, na.sum()))
 
-    def ahead(d: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: i + d < F.size("tokens"))
-        return F.transform(starts, lambda i: F.struct(F.get("tokens", i).alias("a"), F.get("tokens", i + d).alias("b")))
+    def value(a, b, n):
+        share, context, all_ = sent.value
+        v = np.log((n / all_) / (share[a] * context[b]))
+        return np.where(v > 0, v, np.nan)
 
-    spans = [docs.where(F.size("tokens") > d).select(F.explode(ahead(d)).alias("p")) for d in range(1, window + 1)]
-    pairs = spans[0]
-    for s in spans[1:]:
-        pairs = pairs.unionByName(s)
-    once = pairs.select("p.a", "p.b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return both.join(counts.withColumnRenamed("t", "a"), "a", "left_semi").join(counts.withColumnRenamed("t", "b"), "b", "left_semi").select("a", "b", "n")
+    return both_ways(coded, words, value, "ppmi").select("a", "b", F.round("ppmi", 6).alias("ppmi")).where("ppmi > 0")
 
 
 def ppmi(pairs: DataFrame, alpha: float = 0.75) -> DataFrame:
     """(a, b, ppmi): positive pointwise mutual information, with context counts raised to alpha."""
+    pairs = cut(pairs)  # four sums are taken of it
     rows = pairs.groupBy("a").agg(F.sum("n").alias("na"))
     cols = pairs.groupBy("b").agg(F.pow(F.sum("n").cast("double"), F.lit(alpha)).alias("nb"))
     total = pairs.agg(F.sum("n").alias("n_all"))

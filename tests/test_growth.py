@@ -4,6 +4,7 @@ import random
 import re
 import time
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -189,3 +190,22 @@ def test_louvain_holds_arrays():
     assert most < 250 * len(a)
     assert communities.louvain(list(zip(a.tolist(), b.tolist(), w.tolist(), strict=True))) == dict(zip(nodes.tolist(), found.tolist(), strict=True))
     assert communities.louvain([]) == {} and communities.louvain([(7, 7, 2), (3, 9, 1)]) == {3: 3, 7: 7, 9: 3}
+
+
+def test_ppmi_of_coded_pairs(spark, monkeypatch):
+    """Pairs that are kept as numbers give what ppmi() gives of the pairs in words, also when a task keeps few at once; texts are not exploded."""
+    rng = random.Random(5)
+    texts = [(k, [rng.choice("abcdefgh") * rng.choice((1, 1, 2)) for _ in range(rng.randrange(40))]) for k in range(60)] + [(60, None), (61, []), (62, ["a", None, "b"])]
+    docs = spark.createDataFrame(texts, "id bigint, tokens array<string>")
+    seen, pairs = Counter(w for _, t in texts for w in t or () if w), Counter()
+    for _, t in texts:
+        for i in range(len(t or ())):
+            for j in (i + 1, i + 2):
+                if j < len(t) and t[i] and t[j] and min(seen[t[i]], seen[t[j]]) >= 5:
+                    pairs.update([(t[i], t[j]), (t[j], t[i])])
+    got = search.cooccurrences(docs)
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == dict(pairs)
+    want = rows(search.ppmi(got))
+    monkeypatch.setattr(search, "KEPT_PAIRS", 40)
+    assert rows(search.word_ppmi(docs)) == want
+    assert "Generate" not in got._jdf.queryExecution().toString()
